@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .sharding import op5_sharding
+from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_sharding": op5_sharding}
+    return {"op5_sharding": op5_sharding, "op9_token_counts": op9_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
