@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality import op1_quality
 from .sharding import op5_sharding
 from .token_counts import op9_token_counts
+from .toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_sharding": op5_sharding, "op9_token_counts": op9_token_counts}
+    return {
+        "op1_quality": op1_quality,
+        "op5_sharding": op5_sharding,
+        "op6_toxicity": op6_toxicity,
+        "op9_token_counts": op9_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
