@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import OP4_SQL, op4_decontamination
+from .mixing import OP3_SQL, op3_mixing
 from .quality import op1_quality
 from .sharding import op5_sharding
 from .token_counts import op9_token_counts
@@ -15,6 +17,8 @@ from .toxicity import op6_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op3_mixing": op3_mixing,
+        "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
         "op6_toxicity": op6_toxicity,
         "op9_token_counts": op9_token_counts,
@@ -22,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL}

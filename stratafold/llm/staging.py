@@ -40,3 +40,10 @@ def discard(*frames: DataFrame) -> None:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(frame: DataFrame, bound: int) -> DataFrame:
+    """A staged `frame`, marked for broadcast if its rows are counted to be at most `bound`; else as it is, for a shuffled join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(frame) if frame.limit(bound + 1).count() <= bound else frame
