@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP4_SQL, op4_decontamination
 from .mixing import OP3_SQL, op3_mixing
+from .near_dup import op10_near_dedup
 from .quality import op1_quality
 from .sharding import op5_sharding
 from .token_counts import op9_token_counts
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": op5_sharding,
         "op6_toxicity": op6_toxicity,
         "op9_token_counts": op9_token_counts,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
