@@ -4,13 +4,14 @@ Words are maximal runs of ASCII letters and digits (A-Z lowered) and of characte
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window.
 
 1. Every test term is counted in the training text; windows with a term that never occurs are out.
-2. The index holds postings (term, document, position, the words around it) of each window's ANCHORS rarest positions.
-3. Postings minus the term's offset in a window give starts; the lists of the window's anchors are intersected on
-   (window, document, start), the rarest first. What is left is compared with the whole window by the words around it.
+2. The index holds postings (term, document, position, the words around it) of each window's rarest position.
+3. Postings minus the term's offset in a window give starts. A posting's words around it hold the other anchors' positions
+   near it, so the offset-adjusted lists are intersected where the posting is: the window's next rarest terms must stand at
+   their offsets. What is left is compared with the whole window.
 4. Proximity: anchors of one window that lie within a span of words, in any order.
 
-Native: DataFrame functions only. The index is partitioned by document and written once; the lists meet in joins keyed by
-(window, document, start), which no frequent word makes hot. Tables of test terms and anchors are broadcast only if counted
+Native: DataFrame functions only. The index is partitioned by document and written once; nothing of it is shuffled
+before the matches are known. Tables of test terms and anchors are broadcast only if counted
 small; else they are joined by shuffles.
 
 Defined cases: a null text has no words; an empty table on either side finds nothing; rows with equal doc_id are searched
@@ -29,11 +30,17 @@ WINDOW, ANCHORS = 10, 3
 #: Rows of a table of test terms, anchors or windows that may be broadcast.
 SMALL_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK), "")
+    """The words as they are written."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAK), "")
+
+
+def folded(word: Column) -> Column:
+    """A-Z lowered. Lowering a whole ASCII word is the same, and cheaper than a translation."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -43,7 +50,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """window (its words joined by a space), size, item_ids: each distinct window once. Staged."""
-    rows = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    rows = items.select("item_id", F.transform(words(F.col("text")), folded).alias("w")).filter(F.size("w") > 0)
     last = F.greatest(F.size("w") - F.lit(window - 1), F.lit(1))
     each = rows.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.slice("w", i, window))).alias("w"))
     out = each.groupBy(F.array_join("w", " ").alias("window")).agg(F.max(F.size("w")).alias("size"), F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
@@ -54,7 +61,7 @@ def anchors(docs: DataFrame, windows: DataFrame, number: int = ANCHORS) -> DataF
     """window, size, term, offset, rank, number: the rarest positions of each window that can occur. Staged."""
     places = windows.select("window", "size", F.posexplode(F.split("window", " ")).alias("offset", "term"))
     terms = small(stage(places.select("term").distinct(), "decontam-terms"), SMALL_ROWS)
-    seen = _keyed(docs).select(F.explode("words").alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+    seen = _keyed(docs).select(F.explode("words").alias("word")).select(folded(F.col("word")).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
     counted = places.join(seen, "term", "left")
     order = Window.partitionBy("window").orderBy("n", "offset")
     whole = Window.partitionBy("window")
@@ -63,35 +70,29 @@ def anchors(docs: DataFrame, windows: DataFrame, number: int = ANCHORS) -> DataF
     return stage(ranked.select("window", "size", "term", "offset", "rank", F.least("size", F.lit(number)).alias("number")), "decontam-anchors")
 
 
-def index(docs: DataFrame, chosen: DataFrame, context: int = WINDOW - 1) -> DataFrame:
-    """Postings (term, doc_id, hash, position, before, after) of the chosen terms; `context` words on each side. Staged."""
-    terms = small(stage(chosen.select("term").distinct(), "decontam-chosen"), SMALL_ROWS)
-    found = _keyed(docs).select("doc_id", "hash", "words", F.posexplode("words").alias("position", "term")).join(terms, "term")
-    before = F.slice("words", F.greatest(F.col("position") - (context - 1), F.lit(1)), F.least("position", F.lit(context)))
-    after = F.slice("words", F.col("position") + 2, context)
+def index(docs: DataFrame, chosen: DataFrame, context: int = WINDOW - 1, ranks: int = 1) -> DataFrame:
+    """Postings (term, doc_id, hash, position, before, after) of the terms of the first ranks; `context` words on each side. Staged."""
+    terms = small(stage(chosen.filter(F.col("rank") <= ranks).select("term").distinct(), "decontam-chosen"), SMALL_ROWS)
+    each = _keyed(docs).select("doc_id", "hash", "words", F.posexplode("words").alias("position", "word")).withColumn("term", folded(F.col("word")))
+    found = each.join(terms, "term")
+    before = F.transform(F.slice("words", F.greatest(F.col("position") - (context - 1), F.lit(1)), F.least("position", F.lit(context))), folded)
+    after = F.transform(F.slice("words", F.col("position") + 2, context), folded)
     return stage(found.select("term", "doc_id", "hash", "position", before.alias("before"), after.alias("after")), "decontam-postings")
 
 
 def phrase_matches(postings: DataFrame, chosen: DataFrame) -> DataFrame:
     """window, size, doc_id, hash, start: every occurrence of a window, once."""
-    table = small(chosen, SMALL_ROWS)
-    key = ["window", "doc_id", "hash", "start"]
-
-    def starts(rank: int, *more: str) -> DataFrame:
-        got = postings.join(table.filter(F.col("rank") == rank), "term").withColumn("start", F.col("position") - F.col("offset"))
-        return got.filter("start >= 0").select(*key, *more)
-
-    found = starts(1, "size", "number", "term", "offset", "before", "after")
-    top = chosen.agg(F.max("number")).first()[0] or 0
-    for rank in range(2, top + 1):
-        other = starts(rank).alias("o")
-        same = [F.col(f"f.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key]
-        kept = found.filter(F.col("number") >= rank).alias("f").join(other, same, "left_semi")
-        found = kept.unionByName(found.filter(F.col("number") < rank))
-    left = F.slice("before", F.size("before") - F.col("offset") + 1, F.col("offset"))
+    rest = F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "offset", "term")))
+    first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c)
+    table = chosen.groupBy("window", "size").agg(first("term"), first("offset"), F.array_sort(rest).alias("others"))
+    got = postings.join(small(stage(table, "decontam-table"), SMALL_ROWS), "term").withColumn("start", F.col("position") - F.col("offset"))
+    distance = lambda x: x["offset"] - F.col("offset")
+    there = lambda x: F.when(distance(x) < 0, F.get("before", F.size("before") + distance(x))).otherwise(F.get("after", distance(x) - 1))
+    found = got.filter("start >= 0").filter(F.forall("others", lambda x: F.coalesce(there(x) == x["term"], F.lit(False))))
+    left = F.slice("before", F.greatest(F.size("before") - F.col("offset") + 1, F.lit(1)), F.col("offset"))
     right = F.slice("after", F.lit(1), F.col("size") - F.col("offset") - 1)
     text = F.array_join(F.concat(left, F.array("term"), right), " ")
-    return found.filter(text == F.col("window")).select("size", *key).distinct()
+    return found.filter(text == F.col("window")).select("window", "size", "doc_id", "hash", "start").distinct()
 
 
 def proximity_matches(postings: DataFrame, chosen: DataFrame, span: int = 2 * WINDOW) -> DataFrame:

@@ -56,6 +56,6 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "red blue green")], ITEMS)
     windows = D.benchmark_windows(items)
     chosen = D.anchors(docs, windows)
-    postings = D.index(docs, chosen)
+    postings = D.index(docs, chosen, ranks=D.ANCHORS)
     assert D.phrase_matches(postings, chosen).collect() == []
     assert {(r.doc_id, r.first, r.last) for r in D.proximity_matches(postings, chosen, 8).collect()} == {(1, 1, 5), (3, 0, 2)}
