@@ -15,8 +15,15 @@ from .token_counts import op9_token_counts
 from .toxicity import op6_toxicity
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_quality": op1_quality,
         "op3_mixing": op3_mixing,
         "op4_decontamination": op4_decontamination,
