@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP4_SQL, op4_decontamination
+from .html_text import op8_html_text
 from .mixing import OP3_SQL, op3_mixing
 from .near_dup import op10_near_dedup
 from .quality import op1_quality
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
         "op6_toxicity": op6_toxicity,
+        "op8_html_text": op8_html_text,
         "op9_token_counts": op9_token_counts,
         "op10_near_dedup": op10_near_dedup,
     }
