@@ -55,32 +55,29 @@ def near_pairs(discs: DataFrame, cell: float, ident: str = "ordinal") -> DataFra
     return j.filter(owner & (gap <= (F.col("a_radius") + F.col("b_radius")) ** 2)).drop("gx", "gy", "gz")
 
 
-def contact_length() -> Column:
-    """Length of the chord that two discs (a_, b_ with normals) share; 0 without one. Parallel planes share none here."""
+def with_contact(pairs: DataFrame) -> DataFrame:
+    """Pairs (a_, b_ with normals) with contact: the length of the chord that the discs share, 0 without one.
+
+    Worked out in steps of plain columns, so that no expression is repeated in the generated code. Parallel planes share none.
+    """
     na, nb = G.vector("a_nx", "a_ny", "a_nz"), G.vector("b_nx", "b_ny", "b_nz")
     ca, cb = G.vector("a_cx", "a_cy", "a_cz"), G.vector("b_cx", "b_cy", "b_cz")
     line = G.cross(na, nb)
-    s2 = G.dot(line, line)
-    size = F.sqrt(F.when(s2 > 1e-18, s2).otherwise(1.0))
-    d = G.scaled(line, F.lit(1.0) / size)
-    ha, hb = G.dot(na, ca), G.dot(nb, cb)
-    c = G.dot(na, nb)
-    det = 1 - c * c
-    safe = F.when(F.abs(det) > 1e-18, det).otherwise(1.0)
-    point = G.plus(G.scaled(na, (ha - hb * c) / safe), G.scaled(nb, (hb - ha * c) / safe))
-
-    def chord(center: G.Vector, radius: str) -> tuple[Column, Column]:
-        t = G.dot(G.minus(center, point), d)
-        foot = G.plus(point, G.scaled(d, t))
-        off = G.minus(center, foot)
-        half2 = F.col(radius) * F.col(radius) - G.dot(off, off)
-        half = F.sqrt(F.greatest(F.lit(0.0), half2))
-        return F.when(half2 >= 0, t - half), F.when(half2 >= 0, t + half)
-
-    (a0, a1), (b0, b1) = chord(ca, "a_radius"), chord(cb, "b_radius")
-    # greatest and least skip NULLs, so a missing chord is tested for
-    has = a0.isNotNull() & b0.isNotNull()
-    return F.when((s2 > 1e-18) & has, F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))).otherwise(0.0)
+    out = pairs.withColumns({"__lx": line[0], "__ly": line[1], "__lz": line[2], "__c": G.dot(na, nb), "__ha": G.dot(na, ca), "__hb": G.dot(nb, cb)})
+    out = out.withColumn("__s2", G.dot(*[G.vector("__lx", "__ly", "__lz")] * 2))
+    out = out.withColumn("__ok", F.col("__s2") > 1e-18).withColumn("__size", F.when(F.col("__ok"), F.sqrt("__s2")).otherwise(1.0)).withColumn("__det", F.when(F.col("__ok"), 1 - F.col("__c") * F.col("__c")).otherwise(1.0))
+    out = out.withColumns({f"__d{k}": F.col(f"__l{k}") / F.col("__size") for k in "xyz"} | {"__u": (F.col("__ha") - F.col("__hb") * F.col("__c")) / F.col("__det"), "__w": (F.col("__hb") - F.col("__ha") * F.col("__c")) / F.col("__det")})
+    out = out.withColumns({f"__o{k}": F.col("__u") * F.col(f"a_n{k}") + F.col("__w") * F.col(f"b_n{k}") for k in "xyz"})
+    point, d = G.vector("__ox", "__oy", "__oz"), G.vector("__dx", "__dy", "__dz")
+    out = out.withColumns({"__ta": G.dot(G.minus(ca, point), d), "__tb": G.dot(G.minus(cb, point), d)})
+    for s, c in (("a", ca), ("b", cb)):
+        off = G.minus(c, G.plus(point, G.scaled(d, F.col(f"__t{s}"))))
+        out = out.withColumn(f"__v{s}", F.col(f"{s}_radius") * F.col(f"{s}_radius") - G.dot(off, off))
+        out = out.withColumn(f"__r{s}", F.sqrt(F.greatest(F.lit(0.0), F.col(f"__v{s}"))))
+    has = F.col("__ok") & (F.col("__va") >= 0) & (F.col("__vb") >= 0)
+    shared = F.least(F.col("__ta") + F.col("__ra"), F.col("__tb") + F.col("__rb")) - F.greatest(F.col("__ta") - F.col("__ra"), F.col("__tb") - F.col("__rb"))
+    out = out.withColumn("contact", F.when(has, F.greatest(F.lit(0.0), shared)).otherwise(0.0))
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def coplanar_contact() -> Column:
@@ -92,7 +89,7 @@ def coplanar_contact() -> Column:
 
 def edges(discs: DataFrame, cell: float) -> DataFrame:
     """a, b, set_a, set_b, contact: discs that touch, with the length of their chord."""
-    pairs = near_pairs(with_boxes(discs), cell).withColumn("contact", contact_length())
+    pairs = with_contact(near_pairs(with_boxes(discs), cell))
     return pairs.filter((F.col("contact") > 1e-9) | coplanar_contact()).select(F.col("a_ordinal").alias("a"), F.col("b_ordinal").alias("b"), F.col("a_set_id").alias("set_a"), F.col("b_set_id").alias("set_b"), "contact")
 
 
