@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import special
@@ -47,13 +48,13 @@ def with_role(rows: DataFrame, roles_: DataFrame, role: str) -> DataFrame:
     return rows.join(roles_.filter(F.col("role") == role).select("hole_id"), "hole_id", "left_semi")
 
 
-@F.pandas_udf("low double, high double")
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
 def _interval(count: pd.Series, effective: pd.Series) -> pd.DataFrame:
     rows = [special.poisson_interval(int(n), float(e)) if e and e > 0 else (None, None) for n, e in zip(count, effective, strict=True)]
     return pd.DataFrame(rows, columns=["low", "high"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _exposure(kappa: pd.Series, cosine: pd.Series) -> pd.Series:
     out = pd.Series(0.0, index=kappa.index)
     for k, part in cosine.groupby(kappa):

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import special
@@ -60,7 +61,7 @@ def poisson(mean: Column, u: Column, most: int = 30) -> Column:
     return F.when(m <= most, small).otherwise(F.greatest(F.lit(0.0), F.round(m + F.sqrt(m) * z)).cast("int"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def poisson_count(mean: pd.Series, key: pd.Series) -> pd.Series:
     """Poisson numbers, each from a generator seeded by the row's key."""
     return pd.Series([int(np.random.default_rng(abs(int(k))).poisson(max(float(m), 0.0))) for m, k in zip(mean, key, strict=True)], dtype="int64")
