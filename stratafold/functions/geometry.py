@@ -154,9 +154,23 @@ def basis(n: Vector) -> tuple[Vector, Vector]:
     return u, cross(n, u)
 
 
-def disc_polygon(center: Vector, n: Vector, radius, sides: int = 32) -> Column:
-    """The corners of a regular polygon on a disc's rim, as an array of structs x, y, z."""
-    u, v = basis(n)
+def with_basis(frame, n: Vector, prefix: str = "basis_"):
+    """`frame` with the basis of a plane as columns, worked out in steps so that no expression is repeated."""
+    frame = frame.withColumns({f"{prefix}n{k}": c for k, c in zip("xyz", n, strict=True)})
+    n = vector(*[f"{prefix}n{k}" for k in "xyz"])
+    ax, ay, az = (F.abs(x) for x in n)
+    frame = frame.withColumn(f"{prefix}axis", F.when((ax <= ay) & (ax <= az), 0).when(ay <= az, 1).otherwise(2))
+    axis = tuple(F.when(F.col(f"{prefix}axis") == i, 1.0).otherwise(0.0) for i in range(3))
+    frame = frame.withColumns({f"{prefix}u{k}": c for k, c in zip("xyz", cross(axis, n), strict=True)})
+    u = vector(*[f"{prefix}u{k}" for k in "xyz"])
+    frame = frame.withColumn(f"{prefix}size", length(u))
+    frame = frame.withColumns({f"{prefix}u{k}": F.col(f"{prefix}u{k}") / F.col(f"{prefix}size") for k in "xyz"})
+    return frame.withColumns({f"{prefix}v{k}": c for k, c in zip("xyz", cross(n, u), strict=True)}).drop(f"{prefix}axis", f"{prefix}size")
+
+
+def disc_polygon(center: Vector, radius, sides: int = 32, prefix: str = "basis_") -> Column:
+    """The corners of a regular polygon on a disc's rim, as an array of structs x, y, z; the frame has the columns of `with_basis`."""
+    u, v = (vector(*[f"{prefix}{a}{k}" for k in "xyz"]) for a in "uv")
 
     def corner(k):
         t = k * F.lit(2 * 3.141592653589793 / sides)

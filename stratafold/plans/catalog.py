@@ -213,8 +213,9 @@ def axis_rotations(v: Views) -> DataFrame:
 
 @query(f"""SELECT ordinal, {r('0.5::DOUBLE * 32 * radius * radius * sin(2 * pi() / 32) AS polygon_area')} FROM discs""")
 def disc_polygons(v: Views) -> DataFrame:
-    n = G.plane_normal("dip_direction", "dip")
-    return v.discs.select("ordinal", G.polygon_area(G.disc_polygon(G.vector("cx", "cy", "cz"), n, "radius")).alias("polygon_area"))
+    rows = G.with_basis(orientations.with_normals(v.discs), G.vector("nx", "ny", "nz"))
+    corners = rows.select("ordinal", G.disc_polygon(G.vector("cx", "cy", "cz"), "radius").alias("corners"))
+    return corners.select("ordinal", G.polygon_area(F.col("corners")).alias("polygon_area"))
 
 
 FISHER = """g AS (SELECT {keys}, count(*) AS n, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz FROM n GROUP BY {keys} HAVING count(*) >= 3), q AS (SELECT *, sqrt(sx*sx + sy*sy + sz*sz) AS res FROM g)"""
