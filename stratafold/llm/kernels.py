@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 #: Separators of `[^\x20\x09-\x0D]+`.
 SPACES = np.ones(256, bool)
@@ -70,7 +70,7 @@ def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches that hold about `limit` bytes of text each (one row at least), with their bytes and offsets."""
     for batch in batches:
         if not batch.num_rows:
@@ -101,7 +101,7 @@ def spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
     """64-bit hashes of raw[start:end], then of the first p bytes of each for p in `prefixes` (0 where it is shorter).
 
-    Works through blocks of about 1 MB that end between words, so scratch memory doesn't grow with the text.
+    Works through blocks of about 256 kB that end between words, so scratch memory doesn't grow with the text.
     """
     out = [np.empty(len(starts), np.uint64) for _ in range(1 + len(prefixes))]
     lo = 0

@@ -54,6 +54,12 @@ _word[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'-_"
 _MASK = (1 << BITS) - 1
 
 
+def _bases(wanted: np.ndarray) -> np.ndarray:
+    """Which features are wanted at some level; False at -1."""
+    every = np.arange(1 << BITS)
+    return np.append(np.any([wanted[_at_level(every, level)] for level in range(len(LEVELS))], axis=0), False)
+
+
 def _at_level(feature: np.ndarray, level: int) -> np.ndarray:
     """The hashed name of a feature at a level; a bijection for each level."""
     return feature * (2 * 40503 * level + 1) + level * 7919 & _MASK
@@ -77,11 +83,11 @@ class _Text:
         self.features = [np.where(h == 0, -1, (h >> np.uint64(64 - BITS)).astype(np.int64)) for h in every]
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
-    def present(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (row, feature at a level), sorted; only those of `wanted` if given."""
+    def present(self, wanted: np.ndarray | None = None, bases: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (row, feature at a level), sorted; only those of `wanted` (which `bases` have at some level) if given."""
         pairs = []
         for f in self.features:
-            ok = f >= 0 if wanted is None else np.append(self._any_level(wanted), False)[f]
+            ok = f >= 0 if wanted is None else bases[f]
             pair, times = np.unique(self.row[ok] << BITS | f[ok], return_counts=True)
             for level, least in enumerate(LEVELS):
                 at = pair[times >= least]
@@ -90,11 +96,6 @@ class _Text:
         both = np.unique(np.concatenate(pairs))
         return both >> BITS, both & _MASK
 
-    @staticmethod
-    def _any_level(wanted: np.ndarray) -> np.ndarray:
-        every = np.arange(1 << BITS)
-        return np.any([wanted[_at_level(every, level)] for level in range(len(LEVELS))], axis=0)
-
     def patterns(self) -> np.ndarray:
         """Per row: shares of capitals, of marks and of digits among the bytes, and words for each distinct word."""
         size = np.maximum(np.diff(self.offsets), 1)
@@ -206,11 +207,12 @@ def classifier(rows: linear.Rows, posterior: np.ndarray, label: np.ndarray, coun
 
 def _scored(texts: Iterator, model: Model | None):
     wanted = None if model is None else model.weights != 0
+    bases = None if model is None else _bases(wanted)
     for batch, raw, offsets in texts:
         if model is None:
             yield batch, np.zeros(batch.num_rows)
             continue
-        row, feature = _Text(raw, offsets).present(wanted)
+        row, feature = _Text(raw, offsets).present(wanted, bases)
         yield batch, linear.sigmoid(np.bincount(row, weights=model.weights[feature], minlength=batch.num_rows) + model.bias)
 
 
