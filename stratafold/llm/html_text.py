@@ -350,7 +350,10 @@ def generated(sentences: list[str], number: int, seed: int = 7) -> list[str]:
 
 def train(pages: DataFrame, number: int = SAMPLE) -> Labeller | None:
     """A labeller from `number` pages and as many generated ones; None without a page that has text."""
-    rows = pages.select("page_id", "html").filter("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(number).collect()
+    # the ids first: a top-k over whole pages would send `number` pages from every task
+    first = pages.filter("html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(number).distinct()
+    chosen = pages.select("page_id", "html").filter("html is not null").join(F.broadcast(first), "page_id").limit(2 * number)
+    rows = sorted(chosen.collect(), key=lambda r: (r["page_id"], r["html"]))
     real = [b for b in (blocks(r["html"])[:400] for r in rows) if b]
     if not real:
         return None
