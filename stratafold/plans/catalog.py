@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import special
 from ..operators import discs as D
-from ..operators import fields, holes, intake, intensity, orientations, simulate
+from ..operators import fields, holes, intake, intensity, orientations, simulate, state
 from .views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -711,6 +711,56 @@ def event_windows(v: Views) -> DataFrame:
     return records.windowed_counts(v.events)
 
 
+# ---- states and reports ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT hole_id, depth, 9 AS new FROM fractures WHERE depth = 50 AND set_id = 1 GROUP BY hole_id, depth) SELECT coalesce(a.new, f.set_id) AS set_id, count(*) AS n FROM fractures f LEFT JOIN a ON f.hole_id = a.hole_id AND f.depth = a.depth GROUP BY 1""")
+def reassigned_sets(v: Views) -> DataFrame:
+    a = v.fractures.filter("depth = 50 and set_id = 1").select("hole_id", "depth", F.lit(9).alias("set_id")).distinct()
+    return state.reassign(v.fractures, a, ["hole_id", "depth"])[0].groupBy("set_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT parameter_name, sample_id, value FROM scalar_samples WHERE sample_id % 5 <> 0), b AS (SELECT parameter_name, sample_id, CASE WHEN sample_id % 7 = 0 THEN value + 1 ELSE value END AS value FROM scalar_samples WHERE sample_id % 11 <> 0), j AS (SELECT coalesce(a.parameter_name, b.parameter_name) AS parameter_name, a.sample_id AS sa, b.sample_id AS sb, a.value AS va, b.value AS vb FROM a FULL JOIN b ON a.parameter_name = b.parameter_name AND a.sample_id = b.sample_id)
+SELECT parameter_name, CAST(count(*) FILTER (WHERE sb IS NULL) AS BIGINT) AS n_added, CAST(count(*) FILTER (WHERE sa IS NULL) AS BIGINT) AS n_removed, CAST(count(*) FILTER (WHERE sa IS NOT NULL AND sb IS NOT NULL AND va <> vb) AS BIGINT) AS n_changed, true AS stale FROM j GROUP BY 1""")
+def synchronized_samples(v: Views) -> DataFrame:
+    s = v.scalar_samples.select("parameter_name", "sample_id", "value")
+    before = s.filter("sample_id % 11 <> 0").withColumn("value", F.when(F.col("sample_id") % 7 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    return state.synchronized(s.filter("sample_id % 5 <> 0"), before, ["sample_id"], ["value"], "parameter_name")
+
+
+@query("""WITH c AS (SELECT sha256(CAST(hole_id AS VARCHAR) || chr(31) || CAST(set_id AS VARCHAR)) AS h FROM fractures) SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS BIGINT) AS h0, CAST(sum(CAST('0x' || substr(h, 9, 8) AS BIGINT)) AS BIGINT) AS h1, CAST(sum(CAST('0x' || substr(h, 17, 8) AS BIGINT)) AS BIGINT) AS h2, CAST(sum(CAST('0x' || substr(h, 25, 8) AS BIGINT)) AS BIGINT) AS h3 FROM c""")
+def content_hash(v: Views) -> DataFrame:
+    return state.content_hash(v.fractures, ["hole_id", "set_id"])
+
+
+@query("""WITH i AS (SELECT * FROM intervals_raw WHERE to_depth <= 100), w AS (SELECT record_id, CASE WHEN hole_id % 7 = 0 OR hole_id NOT IN (SELECT hole_id FROM domain_intervals) THEN 'partially_unassigned' WHEN (from_depth < 40 AND to_depth > 40) OR (from_depth < 70 AND to_depth > 70) THEN 'crosses_domains' END AS why_excluded FROM i) SELECT why_excluded, count(*) AS n FROM w GROUP BY 1""")
+def supported_samples(v: Views) -> DataFrame:
+    i = v.intervals_raw.filter("to_depth <= 100")
+    return state.supported_samples(i, holes.split_by_domain(i, v.domain_intervals, "record_id"), "record_id").groupBy("why_excluded").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT hole_id, set_id, count(*) AS n FROM fractures GROUP BY ALL) SELECT hole_id, set_id, n, CAST(coalesce(sum(n) OVER (PARTITION BY hole_id ORDER BY set_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "first" FROM c""")
+def count_offsets(v: Views) -> DataFrame:
+    return state.offsets(v.fractures.groupBy("hole_id", "set_id").agg(F.count("*").alias("n")), "hole_id", "set_id")
+
+
+@query(f"SELECT set_id, {r('sum(radius * 125) AS expected_area', 'sum(radius * 125 / (pi() * 4)) AS expected_count', 'sum(radius * 125 / (pi() * 4)) * 80 AS expected_bytes')} FROM discs GROUP BY set_id")
+def expected_discs(v: Views) -> DataFrame:
+    return state.expected_discs(v.discs.withColumn("p32", F.col("radius")), 125.0, F.lit(4.0))
+
+
+@query(f"""WITH o AS (SELECT set_id, count(*) AS n FROM fractures WHERE set_id <> 3 GROUP BY 1), t(set_id, p32) AS (VALUES (1, 0.5::DOUBLE), (4, 0.25::DOUBLE)), g AS (SELECT set_id, count(*) AS n, sum(pi() * radius * radius) AS a FROM discs GROUP BY 1), k AS (SELECT set_id FROM o UNION SELECT set_id FROM t UNION SELECT set_id FROM g) SELECT k.set_id, coalesce(o.n, 0) AS n_observed, t.p32, coalesce(g.n, 0) AS n_generated, {r('coalesce(g.a, 0) AS generated_area')} FROM k LEFT JOIN o USING (set_id) LEFT JOIN t USING (set_id) LEFT JOIN g USING (set_id)""")
+def joint_set_diagnostics(v: Views) -> DataFrame:
+    t = v.spark.createDataFrame([(1, 0.5), (4, 0.25)], "set_id int, p32 double")
+    return state.diagnostics(v.fractures.filter("set_id <> 3"), t, v.discs.withColumn("area", F.lit(math.pi) * F.col("radius") * F.col("radius")), ["set_id"])
+
+
+@query(f"""WITH {NORMALS.format('discs')}, s AS (SELECT ordinal, round(abs(nz), 12) AS a, round(abs(nx * 0.7071067811865476::DOUBLE + nz * 0.7071067811865476::DOUBLE), 12) AS b, round(abs(ny * 0.8::DOUBLE + nz * 0.6::DOUBLE), 12) AS c FROM n) SELECT ordinal, CASE WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN 2 ELSE 3 END AS set_id FROM s""")
+def nearest_axis(v: Views) -> DataFrame:
+    m = v.spark.createDataFrame([(i + 1, *c) for i, c in enumerate(CENTERS)], "set_id int, nx double, ny double, nz double")
+    return state.nearest_axis(orientations.with_normals(v.discs), m, "ordinal")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: P10 of every hole, interval and set."""
     return QUERIES["p10_intervals"](spark, sf_dir)
