@@ -108,7 +108,10 @@ def idw(targets: DataFrame, samples: DataFrame, key: str, k: int = 8, radius: fl
 
 def _nearest_rows(xyz: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distances and indices of the k nearest samples of each row, ordered by (distance, index)."""
-    d = np.sqrt(((at[:, None, :] - xyz[None, :, :]) ** 2).sum(2))
+    d = np.zeros((len(at), len(xyz)))
+    for c in range(3):
+        d += (at[:, c, None] - xyz[None, :, c]) ** 2
+    d = np.sqrt(d)
     order = np.argsort(d, axis=1, kind="stable")[:, :k]
     return np.take_along_axis(d, order, 1), order
 
@@ -131,9 +134,10 @@ def kriged(targets: DataFrame, samples: DataFrame, key: str, model: str, nugget:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xyz, value = shared.value
+        step = int(np.clip(2_000_000 // max(len(xyz), 1), 1, 512))  # distances held at once
         for whole in batches:
-            for lo in range(0, len(whole), 512):
-                rows = whole.iloc[lo : lo + 512]
+            for lo in range(0, len(whole), step):
+                rows = whole.iloc[lo : lo + step]
                 n = len(rows)
                 out, variance, used = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, int)
                 if len(xyz):
