@@ -5,8 +5,9 @@ id is its least doc_id.
 
 1. One pass over the texts gives a sketch of each set: REGISTERS buckets, each with the leading zeros of its least hash and
    MANTISSA bits after them. Documents with equal sets (a 128-bit fingerprint) form a class, shown by its least doc_id.
-2. Empty registers borrow from others by a fixed random probing (optimal densification); BANDS bands of ROWS registers are
-   the buckets of candidates. A pair at the threshold shares none with a probability of 2e-7.
+2. Empty registers borrow from others by a fixed random probing (optimal densification; a place whose probes are all empty
+   borrows from the register that comes first in its own order of all); BANDS bands of ROWS registers are the buckets of
+   candidates. A pair at the threshold shares none with a probability of 2e-7.
 3. Every member of a bucket is compared with the bucket's least document: by the registers' estimate, from which expected
    accidental collisions are taken off, and then by the whole sets. That is linear in the bucket and joins true groups.
 4. A bucket whose other members are still of several components is compared in tiles of TILE members: registers only, in
@@ -48,6 +49,8 @@ TILE = 1024
 SMALL_ROWS = 200_000
 
 _probe = (K.mix(np.arange(PROBES * BANDS * ROWS, dtype=np.uint64) + np.uint64(77)) % np.uint64(REGISTERS)).astype(np.int64).reshape(PROBES, -1)
+#: Each place's own order of the registers, for places whose probes are all empty.
+_rank = K.mix(np.arange(BANDS * ROWS * REGISTERS, dtype=np.uint64) + np.uint64(0x5DEECE66D)).reshape(-1, REGISTERS)
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +76,7 @@ def sketches(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def densified(registers: np.ndarray) -> np.ndarray:
-    """The banded registers, with empty ones filled from the first bucket of their probing that isn't empty."""
+    """The banded registers, with empty ones filled from the first bucket of their probing, or else of their order, that isn't empty."""
     width = BANDS * ROWS
     out = registers[:, :width].copy()
     row, column = np.nonzero(out == 0)
@@ -84,8 +87,11 @@ def densified(registers: np.ndarray) -> np.ndarray:
         full = got > 0
         out[row[full], column[full]] = got[full]
         row, column = row[~full], column[~full]
-    if len(row):
-        out[row, column] = registers.max(1)[row]
+    cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        held = np.flatnonzero(registers[row[lo]])
+        if len(held):
+            out[row[lo], column[lo:hi]] = registers[row[lo], held[_rank[column[lo:hi][:, None], held].argmin(1)]]
     return out
 
 

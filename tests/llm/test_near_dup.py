@@ -100,6 +100,28 @@ def test_estimates_and_bands():
     assert missed == 0
 
 
+def test_short_pairs_share_a_band():
+    r = np.random.default_rng(6)
+    missed = 0
+    for k in range(6, 21):
+        for _ in range(200):
+            b = np.unique(K_random(r, k + 1))
+            a = np.delete(b, r.integers(k + 1))
+            keys = N.bands(N.sketches(np.concatenate([a, b]), np.array([0, k, 2 * k + 1])))
+            missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
+
+
+def test_short_pairs_equal_brute_force(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(6, 21):
+        for _ in range(12):
+            words = [f"v{r.randrange(10**9)}" for _ in range(k + 5)]
+            rows += [(len(rows), " ".join(words[:-1])), (len(rows) + 1, " ".join(words))]
+    assert got(N.report(frame_of(spark, rows))) == brute(rows)
+
+
 def K_random(r, n):
     return r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
