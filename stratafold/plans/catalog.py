@@ -318,6 +318,12 @@ def nearest_vertex(v: Views) -> DataFrame:
     return holes.nearest_vertex(rows, holes.trajectory(v.collars, v.surveys), []).withColumn("idx", F.col("idx").cast("int"))
 
 
+@query()
+def nearest_vertex_all(v: Views) -> DataFrame:
+    """`nearest_vertex` over every depth of the fractures."""
+    return holes.nearest_vertex(v.fractures.select("hole_id", "depth").distinct(), holes.trajectory(v.collars, v.surveys), []).withColumn("idx", F.col("idx").cast("int"))
+
+
 POINT_SQL = f"{ARCS}, pts AS (SELECT hole_id, {along('(k / 25::DOUBLE)', False)} FROM arcs, (SELECT unnest(range(26)) AS k) k WHERE k > 0 OR s = 0)"
 
 
@@ -697,6 +703,15 @@ def conditioned_dedup(v: Views) -> DataFrame:
     return d.join(o.select("record_id", "hole_id", "depth"), "record_id").select("hole_id", "depth")
 
 
+@query()
+def conditioned_all(v: Views) -> DataFrame:
+    """`conditioned_dedup` over every full orientation of all sets."""
+    f = v.fractures.filter("dip_direction is not null").select("hole_id", "depth").distinct()
+    o = holes.at_depth(f, v.collars, v.surveys).withColumns({"record_id": F.concat_ws(":", "hole_id", "depth"), "nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
+    d = simulate.conditioned(o, 5, 2.0)
+    return d.join(o.select("record_id", "hole_id", "depth"), "record_id").select("hole_id", "depth")
+
+
 @query("""WITH m AS (SELECT DISTINCT hole_id FROM fractures WHERE depth > 90) SELECT 'semi' AS kind, count(*) AS n FROM collars SEMI JOIN m USING (hole_id) UNION ALL SELECT 'anti', count(*) FROM scalar_samples ANTI JOIN collars USING (hole_id)""")
 def exceptions_semi_anti(v: Views) -> DataFrame:
     m = v.fractures.filter("depth > 90").select("hole_id").distinct()

@@ -39,3 +39,17 @@ def test_staleness_and_assignments(spark):
     out, bad = state.reassign(rows, spark.createDataFrame([(1, 5), (3, 7), (2, 8), (2, 9)], "k int, set_id int"), ["k"])
     assert sorted(tuple(r) for r in out.select("k", "set_id").collect()) == [(1, 5), (2, 1)]
     assert sorted(tuple(r) for r in bad.collect()) == [(2, "duplicate"), (3, "unknown")]
+
+
+def test_every_depth_and_set(spark):
+    v = catalog.Views(spark, FOLDER)
+    line = {}
+    for p in catalog.QUERIES["trajectory_points"](spark, FOLDER).collect():
+        line.setdefault(p.hole_id, []).append((p.measured_depth, p.idx))
+    rows = v.fractures.select("hole_id", "depth", "dip_direction").collect()
+    want = {(x.hole_id, x.depth, min((abs(m - x.depth), i) for m, i in line[x.hole_id])[1]) for x in rows if x.hole_id in line}
+    got = [(x.hole_id, x.depth, x.idx) for x in catalog.QUERIES["nearest_vertex_all"](spark, FOLDER).collect()]
+    assert set(got) == want and len(got) == len(want) and max(d for _, d, _ in want) == 100
+    want = {(x.hole_id, x.depth) for x in rows if x.dip_direction is not None and x.hole_id in line}
+    got = [(x.hole_id, x.depth) for x in catalog.QUERIES["conditioned_all"](spark, FOLDER).collect()]
+    assert set(got) == want and len(got) == len(want)
