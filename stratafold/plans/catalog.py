@@ -601,6 +601,12 @@ def voxel_p32_rollup(v: Views) -> DataFrame:
     return D.p32_rollup(D.voxel_areas(boxes.filter(inside), LOW, CELL, SHAPE).select("flat", "set_id", "area"), 125.0)
 
 
+@query()
+def voxel_p32_all(v: Views) -> DataFrame:
+    """`voxel_p32_rollup` over all discs, cut by the cells."""
+    return D.p32_rollup(_areas(v).select("flat", "set_id", "area"), 125.0)
+
+
 @query(f"WITH {BOXES} SELECT count(*) AS n_discs, CAST(0 AS BIGINT) AS n_over FROM bx WHERE " + " AND ".join(f"c{k} - h{k} >= 0 AND c{k} + h{k} <= 100" for k in "xyz"))
 def conservation(v: Views) -> DataFrame:
     boxes = D.plane_box_relation(D.with_boxes(v.discs), LOW, HIGH).filter("relation = 'INSIDE'").drop("relation")

@@ -53,3 +53,18 @@ def test_every_depth_and_set(spark):
     want = {(x.hole_id, x.depth) for x in rows if x.dip_direction is not None and x.hole_id in line}
     got = [(x.hole_id, x.depth) for x in catalog.QUERIES["conditioned_all"](spark, FOLDER).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_p32_of_all_discs(spark):
+    cells = catalog.Views(spark, FOLDER)
+    want = {}
+    for x in catalog._areas(cells).collect():
+        for key in ((x.flat, x.set_id), (x.flat, None)):
+            area, n = want.get(key, (0.0, 0))
+            want[key] = (area + x.area, n + 1)
+    got = {(x.flat, x.set_id): x for x in catalog.QUERIES["voxel_p32_all"](spark, FOLDER).collect()}
+    assert set(got) == set(want)
+    for key, (area, n) in want.items():
+        assert got[key].n_discs == n and got[key].area == pytest.approx(area, abs=1e-3) and got[key].p32 == pytest.approx(area / 125, abs=1e-3)
+    inside = [d for d in cells.discs.collect() if all(d.radius <= c <= 100 - d.radius for c in (d.cx, d.cy, d.cz))]
+    assert inside and sum(a for (_, s), (a, _) in want.items() if s is None) >= sum(3.14159 * d.radius**2 for d in inside)
