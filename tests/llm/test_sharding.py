@@ -1,5 +1,8 @@
+import bisect
+import random
 import zlib
 
+import pytest
 from pyspark.sql import types as T
 
 from stratafold.llm import sharding
@@ -20,6 +23,51 @@ def test_capacity_is_least():
             assert sharding.smallest_capacity(sizes, parts) == brute(sizes, parts)
 
 
+def counter(groups):
+    """What `search` asks of a table of groups (key -> size), counted here; notes the ranges and segments of a pass."""
+    keys = sorted(groups)
+    seen = []
+
+    def count(ranges, shift):
+        chosen = keys if not ranges else [k for low, high in ranges for k in keys[bisect.bisect_left(keys, low) : bisect.bisect_right(keys, high)]]
+        parts = {}
+        for k in chosen:
+            p = parts.setdefault(k >> shift, [k, k, 0])
+            p[1], p[2] = k, p[2] + groups[k]
+        seen.append((len(ranges), len(parts)))
+        return [sharding.Segment(*p, shift) for p in parts.values()]
+
+    return count, seen
+
+
+@pytest.mark.parametrize("share", [0, 2, 8, 11, 12, 12.49, 20, 33, 60])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_groups_keep_the_passes_small(share, seed):
+    r = random.Random(seed)
+    groups = {r.randrange(-(1 << 63), 1 << 63): r.randrange(1, 4000) for _ in range(60_000)}
+    if share:
+        total = sum(groups.values())
+        groups[r.randrange(-(1 << 63), 1 << 63)] = int(total * share / (100 - share))
+    count, seen = counter(groups)
+    alone, cuts = sharding.search(count, 8)
+    assert all(ranges <= 14 and parts <= 14 << sharding.MORE_BITS for ranges, parts in seen[1:]) and len(seen) < 25
+    rest = [groups[k] for k in sorted(groups) if k not in alone]
+    assert bool(alone) == (share > 12.5)
+    assert [sorted(k for k in groups if k not in alone)[i] for i in sharding.greedy(rest, sharding.smallest_capacity(rest, 8 - len(alone)))] == cuts
+
+
+def test_search_is_exact_on_small_orders():
+    r = random.Random(5)
+    for _ in range(400):
+        groups = {r.randrange(-(1 << 63), 1 << 63): r.choice([1, 1, 2, 5, 40]) for _ in range(r.randrange(0, 60))}
+        parts = r.randrange(1, 9)
+        alone, cuts = sharding.search(counter(groups)[0], parts)
+        keys = [k for k in sorted(groups) if k not in alone]
+        loads = [sum(groups[k] for k in keys if (low is None or k >= low) and (high is None or k < high)) for low, high in zip([None, *cuts], [*cuts, None], strict=True)]
+        if parts > len(alone):
+            assert max(loads) == (brute([groups[k] for k in keys], parts - len(alone)) if keys else 0) and len(loads) <= parts - len(alone)
+
+
 def check(spark, rows, shards=8):
     out = sharding.assign(spark.createDataFrame(rows, SCHEMA), shards).collect()
     assert len(out) == len(rows)
