@@ -5,13 +5,18 @@ comments and markup never become text. A block's vector holds hashed tags and cl
 of its text, and a few shares. The LSTM, written in numpy, reads the sequence in both directions; a logistic unit on both
 states decides for every block. Kept blocks are joined in page order.
 
-The model is trained here, on a bounded sample: SAMPLE pages, the first by a hash of page_id, labelled by the roles of
-their elements, and as many pages built from their sentences in generated layouts (menus, side bars, notices, adverts,
-forms, comments), whose roles are known. Labels come from roles; at scoring the model sees vectors only.
+The model is trained here, on GENERATED pages whose layouts (menus, side bars, notices, adverts, forms, comments) are drawn
+at random, so that every block's label is known from the layout and is kept beside the page, not in it. A part of the
+containers has common role names, a part made-up ones, a part none, so that a name alone doesn't decide. Their sentences
+come from a bounded sample: SAMPLE pages, the first by a hash of page_id, with at most SENTENCES sentences of at most
+SENTENCE_CHARS characters each; that bounds what the driver gets. Nothing of real pages is a label.
 
 Defined cases: an empty table gives no rows; null or empty html has an empty text; a page without main blocks has an empty
-text; unclosed and stray tags are read as browsers do in the plain cases; rows with equal page_id are read each; without a
-page to train on every block outside the boilerplate roles is kept; other columns are ignored.
+text; unclosed and stray tags are read as browsers do in the plain cases; a quote that is never closed ends with its tag; a tag
+that is never closed is no text; elements nested deeper than MAX_DEPTH count as siblings, as in browsers; attributes of any name
+and value are ignored but for class, id and role; rows with equal page_id are read each; without sentences the generated
+pages have made-up ones; other columns are ignored. Time is linear in the html, and memory beyond it is bounded: a page of
+more than BATCH_BLOCKS blocks is scored in steps that hand on the states of the network.
 """
 
 from __future__ import annotations
@@ -19,25 +24,31 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .linear import sigmoid
 from .staging import documents
 
-#: Pages that the model is trained on, at most, and as many generated ones.
-SAMPLE = 300
+#: Pages whose sentences the generated pages are made of, at most; sentences of a page and characters of a sentence.
+SAMPLE, SENTENCES, SENTENCE_CHARS = 300, 40, 400
+GENERATED = 1000
 HIDDEN, PATH_SIZE, WORD_SIZE, SHARES = 24, 96, 48, 6
 SIZE = PATH_SIZE + WORD_SIZE + SHARES
 EPOCHS, RATE = 14, 0.01
 #: Blocks of pages that are scored at once, with padding.
 BATCH_BLOCKS = 20_000
+#: Open elements at most, and the innermost of them that a block's path names.
+MAX_DEPTH, PATH_DEPTH = 512, 32
 THRESHOLD = 0.5
 
 # Element names of HTML, and role words of class and id attributes.
@@ -45,13 +56,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("script style noscript template title textarea iframe svg math object canvas select".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul button label".split())
 CLOSES_P = BLOCK - {"button", "label", "option"}
-OTHER_TAGS = frozenset("nav header footer aside form button head menu dialog label fieldset".split())
 OTHER_WORDS = ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "alert", "sidebar", "side", "widget", "related", "recommended", "share", "social", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "comment", "comments", "reply", "replies", "respond", "newsletter", "subscribe", "signup", "login", "search", "modal", "popup", "footer", "header", "masthead", "copyright", "pagination", "tags", "author-box"]
 MAIN_WORDS = ["content", "post", "entry", "article", "story", "text", "body", "main", "page", "article-body", "post-content", "entry-content", "prose"]
 
-_markup = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_attribute = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# what the layouts' notices say
+SAID = ["We use cookies to improve this site", "Accept all", "Subscribe to our newsletter", "Leave a reply", "All rights reserved", "Share this", "Read more", "Sign in", "Privacy policy", "Terms of use", "Advertisement", "Reply", "3 comments", "Related stories", "Follow us", "Back to top", "Contact", "Home", "Search"]
+
+_attribute = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?)""")
+_tag_name = re.compile(r"[a-zA-Z][^\s/>]*+")
 _name_part = re.compile(r"[^a-z0-9]+")
+_closers = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*+(?:>|\Z)", re.I) for tag in SKIPPED}
 
 
 @dataclass
@@ -59,70 +73,117 @@ class Block:
     path: tuple[str, ...]
     text: str
     linked: int
-    label: int | None = None
+    #: Where its text begins in the page.
+    start: int = 0
 
 
 @dataclass
 class _Open:
     tag: str
     names: tuple[str, ...]
-    label: int | None = field(default=None)
+
+
+def _tag(page: str, at: int) -> tuple[int, str, dict[str, str], bool] | None:
+    """End, name, attributes and self-closing mark of the tag whose name begins at `at`; None if it is never closed."""
+    name = _tag_name.match(page, at)
+    position, found = name.end(), {}
+    while True:
+        m = _attribute.match(page, position)
+        if m is None:
+            return None
+        if m.group(1):
+            return m.end(), name.group().lower(), found, page[m.end() - 2] == "/"
+        position = m.end()
+        key = m.group(2).lower()
+        if key in ("class", "id", "role") and key not in found:
+            found[key] = next((v for v in m.group(3, 4, 5) if v), "").lower()
+
+
+def _names(tag: str, attributes: dict[str, str]) -> tuple[str, ...]:
+    names = [tag]
+    for value in attributes.values():
+        for word in value.split():
+            names.append(f".{word}")
+            names += [f".{part}" for part in _name_part.split(word) if part and part != word]
+    return tuple(names)
 
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, with references decoded and white space made one space."""
     out: list[Block] = []
     stack: list[_Open] = []
+    held: Counter[str] = Counter()  # open elements by tag
     parts: list[str] = []
-    links = [0]
-    place: list[tuple] = []
+    links, path, start = 0, (), 0
 
     def flush() -> None:
+        nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path, label = place[0]
-                out.append(Block(path, text, min(links[0], len(text)), label))
+                out.append(Block(path, text, min(links, len(text)), start))
             parts.clear()
-            place.clear()
-            links[0] = 0
-
-    def add(text: str) -> None:
-        if not place and not text.isspace():
-            place.append((tuple(n for o in stack for n in o.names), next((o.label for o in reversed(stack) if o.label is not None), None)))
+            links = 0
+
+    def add(low: int, high: int) -> None:
+        nonlocal links, path, start
+        text = page[low:high]
+        if not parts:
+            if text.isspace():
+                return
+            path, start = tuple(n for o in stack[-PATH_DEPTH:] for n in o.names), low
         parts.append(text)
-        if any(o.tag == "a" for o in stack):
-            links[0] += len(text)
+        if held["a"]:
+            links += high - low
+
+    def close(i: int) -> None:
+        """Closes the open elements from the i-th on."""
+        for o in stack[i:]:
+            held[o.tag] -= 1
+        del stack[i:]
 
     position, end = 0, len(page)
     while position < end:
-        found = _markup.search(page, position)
-        if not found:
-            add(page[position:])
+        at = page.find("<", position)
+        if at < 0:
+            add(position, end)
             break
-        if found.start() > position:
-            add(page[position : found.start()])
-        position = found.end()
-        tag = found.group(2)
-        if tag is None:
+        following = page[at + 1 : at + 3]
+        closing = following[:1] == "/"
+        letter = following[1:2] if closing else following[:1]
+        is_tag = letter.isascii() and letter.isalpha()
+        if not is_tag and not closing and following[:1] not in ("!", "?"):
+            add(position, at + 1)  # a plain less-than sign
+            position = at + 1
+            continue
+        if at > position:
+            add(position, at)
+        if not is_tag:
+            stop = page.find("-->", at + 2) if page.startswith("<!--", at) else page.find(">", at)
+            position = end if stop < 0 else page.index(">", stop) + 1
             continue
-        tag, closing = tag.lower(), bool(found.group(1))
+        found = _tag(page, at + 1 + closing)
+        if found is None:
+            break
+        position, tag, attributes, empty = found
         if tag == "br":
-            add(" ") if parts else None
+            if parts:
+                parts.append(" ")
             continue
         if closing:
-            if tag in BLOCK and (tag == "p" or any(o.tag == tag for o in stack)):
+            if tag in BLOCK and (tag == "p" or held[tag]):
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "body", "main", "section", "td") and tag not in BLOCK:
-                    break
+            if held[tag]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if stack[i].tag in ("article", "body", "main", "section", "td") and tag not in BLOCK:
+                        break
             continue
         if tag in SKIPPED:
-            if not found.group(3).rstrip().endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, position)
+            if not empty:
+                stop = _closers[tag].search(page, position)
                 position = stop.end() if stop else end
             continue
         if tag in BLOCK:
@@ -132,34 +193,20 @@ def blocks(page: str) -> list[Block]:
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == "p" or stack[i].tag == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
-        names, label = [tag], None
-        for name, *values in _attribute.findall(found.group(3)):
-            value = next((v for v in values if v), "").lower()
-            if name.lower() == "data-y":
-                label = int(value or 0)
-            else:
-                for word in value.split():
-                    names.append(f".{word}")
-                    names += [f".{part}" for part in _name_part.split(word) if part and part != word]
-        stack.append(_Open(tag, tuple(names), label))
+        if len(stack) >= MAX_DEPTH:
+            close(MAX_DEPTH - 1)
+        stack.append(_Open(tag, _names(tag, attributes) if attributes else (tag,)))
+        held[tag] += 1
     flush()
     return out
 
 
-def role_label(path: tuple[str, ...]) -> int:
-    """1 inside an article or main element, 0 inside an element of another role; without either, 1."""
-    other = {f".{w}" for w in OTHER_WORDS}
-    if any(n in OTHER_TAGS or n in other for n in path):
-        return 0
-    return 1
-
-
 def vectors(found: list[Block]) -> np.ndarray:
-    """A row for each block of one or more pages; shares of the place in the page are set by `_page_vectors`."""
+    """A row for each block of one or more pages; shares of the place in the page are set by `page_vectors`."""
     out = np.zeros((len(found), SIZE), np.float32)
     names = [n.encode() for b in found for n in b.path]
     if names:
@@ -186,16 +233,12 @@ def vectors(found: list[Block]) -> np.ndarray:
     return out
 
 
-def _page_vectors(pages: list[list[Block]]) -> list[np.ndarray]:
-    every = vectors([b for p in pages for b in p])
-    out, at = [], 0
-    for p in pages:
-        part = every[at : at + len(p)]
-        at += len(p)
-        if len(p):
-            part[:, -2] = np.linspace(0, 1, len(p))
-            part[:, -1] = 1 / len(p)
-        out.append(part)
+def page_vectors(page: list[Block], low: int = 0, high: int | None = None) -> np.ndarray:
+    """Vectors of the blocks from `low` to `high` of a page."""
+    out = vectors(page[low:high])
+    if len(out):
+        out[:, -2] = (low + np.arange(len(out))) / max(len(page) - 1, 1)
+        out[:, -1] = 1 / len(page)
     return out
 
 
@@ -212,10 +255,10 @@ class Labeller:
             self.p[f"o{d}"] = r.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN)
         self.p["o"] = np.zeros(1)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False):
-        """States of one direction; x is (pages, blocks, SIZE), already reversed for the backward one."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False, state: list | None = None):
+        """States of one direction; x is (pages, blocks, SIZE), already reversed for the backward one. `state` is gone on from and set."""
         n, t, _ = x.shape
-        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+        h, c = state or (np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)))
         inputs = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
         out, held = np.zeros((n, t, HIDDEN)), []
         for k in range(t):
@@ -231,6 +274,8 @@ class Labeller:
             out[:, k] = h
             if keep:
                 held.append((i, f, o, g, th, before_h, before_c, m))
+        if state is not None:
+            state[:] = h, c
         return out, held
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -283,7 +328,23 @@ class Labeller:
                     v[k] = 0.99 * v[k] + 0.01 * a * a
                     self.p[k] = self.p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
 
-    def keep(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def score(self, pages: list[list[Block]]) -> np.ndarray:
+        """Logits of the blocks of pages of like length, padded. Steps of BATCH_BLOCKS / pages blocks hand on the states."""
+        t = max(map(len, pages))
+        step = max(1, BATCH_BLOCKS // len(pages))
+        z = np.full((len(pages), t), self.p["o"][0])
+        lows = range(0, t, step)
+        for d, order in (("f", lows), ("b", reversed(lows))):
+            state: list = []
+            for low in order:
+                if d == "f" or t > step:
+                    x, mask, _ = padded([page_vectors(p, low, low + step) for p in pages], length=min(step, t - low))
+                turn = slice(None, None, 1 if d == "f" else -1)
+                states, _ = self._run(x[:, turn], mask[:, turn], d, state=state)
+                z[:, low : low + step] += states[:, turn] @ self.p[f"o{d}"]
+        return z
+
+    def keep(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page, which blocks are main text. Pages of like length are run together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
@@ -292,16 +353,15 @@ class Labeller:
             hi = lo + 1
             while hi < len(order) and (hi - lo + 1) * len(pages[order[hi]]) <= BATCH_BLOCKS:
                 hi += 1
-            x, mask, _ = padded([pages[i] for i in order[lo:hi]])
-            z = self.logits(x, mask)
+            z = self.score([pages[i] for i in order[lo:hi]])
             for row, i in enumerate(order[lo:hi]):
                 out[i] = sigmoid(z[row, : len(pages[i])]) >= THRESHOLD
             lo = hi
         return out
 
 
-def padded(pages: list[np.ndarray], labels: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    t = max(len(p) for p in pages)
+def padded(pages: list[np.ndarray], labels: list[np.ndarray] | None = None, length: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t = length or max(len(p) for p in pages)
     x, mask, y = np.zeros((len(pages), t, SIZE)), np.zeros((len(pages), t)), np.zeros((len(pages), t))
     for i, p in enumerate(pages):
         x[i, : len(p)], mask[i, : len(p)] = p, 1
@@ -310,62 +370,130 @@ def padded(pages: list[np.ndarray], labels: list[np.ndarray] | None = None) -> t
     return x, mask, y
 
 
-def generated(sentences: list[str], number: int, seed: int = 7) -> list[str]:
-    """Pages in random layouts whose containers carry their label in data-y."""
+def generated(sentences: list[str], number: int, seed: int = 7, named: float = 0.6) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Pages in random layouts, each with the places where its label changes: (offset, label of the text from there on).
+
+    `named` is the share of containers whose names tell their role; half of the others have a made-up name.
+    """
     r = random.Random(seed)
     say = lambda n: " ".join(r.choice(sentences) for _ in range(n))
     few = lambda: " ".join(say(1).split()[: r.randrange(1, 9)])
-
-    def other() -> str:
-        kind = r.randrange(6)
-        tag = r.choice(["nav", "header", "footer", "aside", "form", "menu"]) if kind < 3 else r.choice(["div", "section", "ul", "p"])
-        name = "" if kind < 2 else f' {r.choice(["class", "id"])}="{r.choice(OTHER_WORDS)}{r.choice(["", "-box", "-list", " wide"])}"'
-        inside = r.choice([lambda: "".join(f'<li><a href="/x">{few()}</a></li>' for _ in range(r.randrange(2, 7))), lambda: f"<p>{say(1)}</p>" * r.randrange(1, 3), lambda: few(), lambda: f"<h3>{few()}</h3><p>{say(2)}</p>", lambda: f"<label>{few()}</label><button>{few()}</button>"])()
-        return f'<{tag}{name} data-y="0">{inside}</{tag}>'
-
-    def main() -> str:
-        body = [f"<h1>{few()}</h1>"] if r.random() < 0.8 else []
+    notice = lambda: r.choice(SAID) if r.random() < 0.4 else few()
+    made_up = lambda: "".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(r.randrange(2, 5))) + r.choice(["", f"-{r.randrange(100)}", "__x"])
+    pieces: list[tuple[str, int]] = []
+
+    def put(markup: str, label: int, *texts: str) -> None:
+        """Markup whose %s are texts."""
+        pieces.append((markup % tuple(html.escape(t, quote=False) for t in texts), label))
+
+    def box(tags: list[str], names: list[str]) -> tuple[str, str]:
+        """A container's first tag and last tag."""
+        kind = r.random()
+        name = r.choice(names) + r.choice(["", "-box", "-list", " wide"]) if kind < named else made_up() if kind < (1 + named) / 2 else ""
+        tag = r.choice(tags)
+        return f'<{tag} {r.choice(["class", "id"])}="{name}">' if name else f"<{tag}>", f"</{tag}>"
+
+    def other() -> None:
+        """What isn't the article: links, notices, adverts, forms, or comments with their writers."""
+        kind = r.randrange(7)
+        telling = kind < 3
+        first, last = box(["nav", "header", "footer", "aside", "form", "menu"] if telling else ["div", "section", "ul", "p", "div"], OTHER_WORDS)
+        put(first, 0)
+        what = r.randrange(6)
+        if what == 0:
+            for _ in range(r.randrange(2, 9)):
+                put('<li><a href="/x">%s</a></li>', 0, notice())
+        elif what == 1:
+            for _ in range(r.randrange(1, 3)):
+                put("<p>%s</p>" if telling or "=" in first else '<p><a href="/x">%s</a></p>', 0, say(1))
+        elif what == 2:
+            put("%s", 0, notice())
+        elif what == 3:
+            for _ in range(r.randrange(1, 5)):
+                put("<div><b>%s</b><span>%s</span><p>%s</p><a href='#'>%s</a></div>", 0, few(), f"{r.randrange(1, 29)}.{r.randrange(1, 13)}.20{r.randrange(10, 30)}", say(r.randrange(1, 4)), r.choice(["Reply", "Like", notice()]))
+        elif what == 4:
+            put("<h3>%s</h3>", 0, notice())
+            for _ in range(r.randrange(1, 5)):
+                put('<p><a href="/x">%s</a></p>', 0, few())
+        else:
+            put('<label>%s</label><input name="q"><button>%s</button>', 0, notice(), notice())
+        put(last, 0)
+
+    def main() -> None:
+        first, last = box(["article", "main", "div", "section", "article"], MAIN_WORDS)
+        put(first, 1)
+        if r.random() < 0.8:
+            put("<h1>%s</h1>", 1, few())
         for _ in range(r.randrange(1, 12)):
             kind = r.random()
-            if kind < 0.75:
-                body.append(f"<p>{say(r.randrange(1, 6))}</p>")
-            elif kind < 0.82:
-                body.append(f"<h2>{few()}</h2>")
+            if kind < 0.7:
+                put(r.choice(["<p>%s</p>", "<p>%s", "<p>%s</p>", "<div>%s</div>", "<p><b>%s<br>"]), 1, say(r.randrange(1, 6)))
+            elif kind < 0.78:
+                put("<p>%s <a href='/y'>%s</a> %s</p>", 1, say(1), few(), say(1))
+            elif kind < 0.84:
+                put("<h2>%s</h2>", 1, few())
             elif kind < 0.9:
-                body.append("<ul>" + "".join(f"<li>{few()}</li>" for _ in range(r.randrange(2, 5))) + "</ul>")
+                put("<ul>", 1)
+                for _ in range(r.randrange(2, 5)):
+                    put("<li>%s</li>", 1, few() if r.random() < 0.5 else say(1))
+                put("</ul>", 1)
             elif kind < 0.95:
-                body.append(f"<blockquote>{say(1)}</blockquote>")
+                put("<blockquote>%s</blockquote>", 1, say(1))
             else:
-                body.append(other())
-        tag, name = r.choice([("article", ""), ("main", ""), ("div", r.choice(MAIN_WORDS)), ("section", r.choice(MAIN_WORDS)), ("article", r.choice(MAIN_WORDS)), ("div", "")])
-        name = f' class="{name}"' if name else ""
-        return f'<{tag}{name} data-y="1">{"".join(body)}</{tag}>'
+                other()
+        put(last, 1)
 
     out = []
     for _ in range(number):
-        before, after = ([other() for _ in range(r.randrange(k))] for k in (5, 6))
-        out.append(f"<html><head><title>{few()}</title></head><body>{''.join(before)}{main()}{''.join(after)}</body></html>")
+        pieces = []
+        put("<html><head><title>%s</title></head><body>", 0, few())
+        for _ in range(r.randrange(5)):
+            other()
+        main()
+        for _ in range(r.randrange(6)):
+            other()
+        put("</body></html>", 0)
+        at, marks = 0, []
+        for text, label in pieces:
+            marks.append((at, label))
+            at += len(text)
+        out.append(("".join(text for text, _ in pieces), marks))
     return out
 
 
-def train(pages: DataFrame, number: int = SAMPLE) -> Labeller | None:
-    """A labeller from `number` pages and as many generated ones; None without a page that has text."""
+def labelled(page: str, marks: list[tuple[int, int]]) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a generated page and their labels."""
+    found = blocks(page)
+    at = [m[0] for m in marks]
+    return found, np.array([marks[bisect_right(at, b.start) - 1][1] for b in found], float)
+
+
+def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SENTENCES sentences of each page, the first by their hashes, cut to SENTENCE_CHARS: what the driver is sent."""
+    for batch in batches:
+        for page_id, page in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            every = {s[:SENTENCE_CHARS] for b in blocks(page or "") for s in re.split(r"(?<=[.!?]) ", b.text)}
+            chosen = sorted(every, key=lambda s: (zlib.crc32(s.encode()), s))[:SENTENCES]
+            yield pa.RecordBatch.from_arrays([pa.array([page_id] * len(chosen), pa.int64()), pa.array(chosen, pa.string())], ["page_id", "sentence"])
+
+
+def train(pages: DataFrame, number: int = SAMPLE) -> Labeller:
+    """A labeller trained on GENERATED pages of the sentences of `number` pages."""
     # the ids first: a top-k over whole pages would send `number` pages from every task
-    first = pages.filter("html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(number).distinct()
-    chosen = pages.select("page_id", "html").filter("html is not null").join(F.broadcast(first), "page_id").limit(2 * number)
-    rows = sorted(chosen.collect(), key=lambda r: (r["page_id"], r["html"]))
-    real = [b for b in (blocks(r["html"])[:400] for r in rows) if b]
-    if not real:
-        return None
-    sentences = [s for p in real for b in p for s in re.split(r"(?<=[.!?]) ", b.text)[:40]][:20_000]
-    made = [b for b in map(blocks, generated(sentences, number)) if b]
-    labels = [np.array([role_label(b.path) for b in p], float) for p in real] + [np.array([b.label or 0 for b in p], float) for p in made]
+    first = pages.filter("html is not null").select(F.col("page_id").cast("long").alias("page_id")).distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(number)
+    chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").filter("html is not null").join(F.broadcast(first), "page_id")
+    # rows with one page_id share its number of sentences
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("sentence"))
+    rows = chosen.mapInArrow(_sentence_rows, "page_id long, sentence string").distinct().withColumn("n", rank).filter(F.col("n") <= SENTENCES)
+    sentences = sorted({r["sentence"] for r in rows.select("sentence").collect()}) or SAID
+    made = [labelled(*g) for g in generated(sentences, GENERATED)]
+    made = [(b, y) for b, y in made if b]
     model = Labeller()
-    model.fit(_page_vectors(real + made), labels)
+    model.fit([page_vectors(b) for b, _ in made], [y for _, y in made])
     return model
 
 
-def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:
+def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -378,10 +506,7 @@ def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:
                     size += len(source[hi] or "")
                     hi += 1
                 found = [blocks(h or "") for h in source[lo:hi]]
-                if shared.value is None:
-                    kept = [np.array([role_label(b.path) for b in p], bool) for p in found]
-                else:
-                    kept = shared.value.keep(_page_vectors(found))
+                kept = shared.value.keep(found)
                 texts = ["\n".join(b.text for b, k in zip(p, ok, strict=True) if k) for p, ok in zip(found, kept, strict=True)]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
