@@ -309,9 +309,10 @@ class Labeller:
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         step = 0
         for _ in range(epochs):
-            order = r.permutation(len(pages))
-            for lo in range(0, len(order), 32):
-                part = order[lo : lo + 32]
+            # batches of like length, so that little is padded
+            order = sorted(r.permutation(len(pages)), key=lambda i: len(pages[i]) // 8)
+            batches = [order[lo : lo + 32] for lo in range(0, len(order), 32)]
+            for part in (batches[b] for b in r.permutation(len(batches))):
                 x, mask, y = padded([pages[i] for i in part], [labels[i] for i in part])
                 forward, held_f = self._run(x, mask, "f", True)
                 backward, held_b = self._run(x[:, ::-1], mask[:, ::-1], "b", True)
@@ -424,10 +425,10 @@ def generated(sentences: list[str], number: int, seed: int = 7, named: float = 0
         put(first, 1)
         if r.random() < 0.8:
             put("<h1>%s</h1>", 1, few())
-        for _ in range(r.randrange(1, 12)):
+        for _ in range(r.randrange(1, 12) if r.random() < 0.8 else r.randrange(12, 60)):
             kind = r.random()
             if kind < 0.7:
-                put(r.choice(["<p>%s</p>", "<p>%s", "<p>%s</p>", "<div>%s</div>", "<p><b>%s<br>"]), 1, say(r.randrange(1, 6)))
+                put(r.choice(["<p>%s</p>", "<p>%s", "<p>%s</p>", "<div>%s</div>", "<p><b>%s<br>"]), 1, say(r.randrange(1, 6)) if r.random() < 0.85 else few())
             elif kind < 0.78:
                 put("<p>%s <a href='/y'>%s</a> %s</p>", 1, say(1), few(), say(1))
             elif kind < 0.84:
