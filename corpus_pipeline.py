@@ -28,8 +28,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mix(docs).drop("__shard")
+    """Each document as often as the mix takes it, dealt to partitions by its output shard and in a random order inside."""
+    return mixing.mix(docs)
 
 
 def put_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
