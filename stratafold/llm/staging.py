@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_ROOT = "file:///tmp/checkpoints"
@@ -42,8 +43,12 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(frame: DataFrame, bound: int) -> DataFrame:
-    """A staged `frame`, marked for broadcast if its rows are counted to be at most `bound`; else as it is, for a shuffled join."""
-    from pyspark.sql import functions as F
+#: Bytes of a table that may be broadcast, as the length of its rows in JSON.
+SMALL_BYTES = 64 << 20
+
 
-    return F.broadcast(frame) if frame.limit(bound + 1).count() <= bound else frame
+def small(frame: DataFrame, bound: int) -> DataFrame:
+    """A staged `frame`, marked for broadcast if it has at most `bound` rows and SMALL_BYTES bytes; else as it is, for a shuffled join."""
+    rows = frame.limit(bound + 1).select(F.octet_length(F.to_json(F.struct(F.struct(*frame.columns)))).alias("bytes"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return F.broadcast(frame) if n <= bound and size <= SMALL_BYTES else frame

@@ -52,10 +52,14 @@ def test_empty_sides(spark):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "x red y blue z green w", None, None), (2, "red " + "f " * 30 + "blue green", None, None), (3, "green blue red", None, None)], DOCS)
-    items = spark.createDataFrame([(1, "red blue green")], ITEMS)
-    windows = D.benchmark_windows(items)
-    chosen = D.anchors(docs, windows)
-    postings = D.index(docs, chosen, ranks=D.ANCHORS)
-    assert D.phrase_matches(postings, chosen).collect() == []
-    assert {(r.doc_id, r.first, r.last) for r in D.proximity_matches(postings, chosen, 8).collect()} == {(1, 1, 5), (3, 0, 2)}
+    docs = spark.createDataFrame([(1, "x red y blue z green w", None, None), (2, "red " + "f " * 30 + "blue green", None, None), (3, "green blue red", None, None), (4, "red a b c d e f blue", None, None), (4, "blue " + "g " * 19 + "green red", None, None)], DOCS)
+    items = spark.createDataFrame([(1, "red blue green"), (2, "red blue green"), (3, "green"), (4, "green red blue")], ITEMS)
+    out = {(r.doc_id, r.n_words): r for r in D.report(docs, items).collect()}
+    assert {k: r.n_near_items for k, r in out.items()} == {(1, 7): 4, (2, 33): 1, (3, 3): 4, (4, 8): 0, (4, 22): 1}
+    assert {k: r.n_items for k, r in out.items()} == {(1, 7): 1, (2, 33): 1, (3, 3): 1, (4, 8): 0, (4, 22): 1}
+
+
+def test_a_term_repeated_all_through_a_long_text(spark):
+    docs = spark.createDataFrame([(1, "a " * 20_000 + "b", None, None), (2, "b a", None, None)], DOCS)
+    items = spark.createDataFrame([(1, "a b"), (2, "b")], ITEMS)
+    assert {r.doc_id: (r.n_hit, r.n_items, r.n_near_items) for r in D.report(docs, items).collect()} == {1: (2, 2, 2), 2: (1, 1, 2)}
