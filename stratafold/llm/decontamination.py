@@ -76,7 +76,7 @@ def index(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Postings (term, doc_id, hash, position) of the anchors' terms. Staged."""
     terms = small(stage(chosen.select("term").distinct(), "decontam-chosen"), SMALL_ROWS)
     each = _keyed(docs).select("doc_id", "hash", F.posexplode("words").alias("position", "word"))
-    return stage(each.select("doc_id", "hash", "position", folded(F.col("word")).alias("term")).join(terms, "term").distinct(), "decontam-postings")
+    return stage(each.select("doc_id", "hash", "position", folded(F.col("word")).alias("term")).join(terms, "term"), "decontam-postings")
 
 
 def _same_text(a: str, b: str) -> Column:
