@@ -200,56 +200,58 @@ def fit_sizes(n: int, total: float, logs: float, logs2: float, low: float, high:
     return sorted(out, key=lambda r: r["aic"])
 
 
-def disc_box_area(center: np.ndarray, normal: np.ndarray, radius: float, low: np.ndarray, high: np.ndarray) -> float:
-    """Exact area of a disc inside a closed box: the box cuts a convex polygon from the disc's plane; the disc's share of it is summed by edges."""
-    axis = np.zeros(3)
-    axis[int(np.argmin(np.abs(normal)))] = 1.0
-    u = np.cross(axis, normal)
-    u /= np.linalg.norm(u)
+def disc_box_areas(center: np.ndarray, normal: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Exact areas of discs (a row each) inside closed boxes.
+
+    In a disc's plane a box is six half-planes t_k . p <= d_k with unit t_k, p taken from the disc's centre. By Green's
+    theorem the area of the disc's part in them is half the sum of d_k times the length of line k's piece in the disc and
+    in the other half-planes, and half the squared radius times the angle of the circle's part in all of them. No polygon is made.
+    """
+    m, r = len(center), np.asarray(radius, float)[:, None]
+    w = np.sqrt(np.maximum(0.0, 1 - normal * normal))
+    steep = w > 1e-12  # else the disc is parallel to that pair of faces
+    tolerance = 1e-12 * np.maximum(1.0, r)
+    gap = np.stack([high - center, center - low], 1)  # (m, 2, 3)
+    empty = (~steep[:, None] & (gap < -tolerance[:, None])).any((1, 2))
+    inverse = np.where(steep, 1 / np.where(steep, w, 1.0), 0.0)
+    d = np.where(steep[:, None], gap * inverse[:, None], np.inf).reshape(m, 6)
+    idle = d >= r
+    empty |= (d <= -r).any(1)
+    d = np.where(idle, r, d)
+    helper = np.eye(3)[np.argmin(np.abs(normal), 1)]
+    u = np.cross(helper, normal)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
     v = np.cross(normal, u)
-    r = 1.0000001 * radius
-    polygon = [np.array(p) for p in ((-r, -r), (r, -r), (r, r), (-r, r))]
-    for k in range(3):
-        g = np.array([u[k], v[k]])
-        for sign, bound in ((1.0, high[k] - center[k]), (-1.0, -(low[k] - center[k]))):
-            polygon = _clip(polygon, sign * g, bound, 1e-13 * max(1.0, radius))
-            if len(polygon) < 3:
-                return 0.0
-    area = sum(_edge_area(a, b, radius) for a, b in zip(polygon, polygon[1:] + polygon[:1], strict=True))
-    return float(min(max(abs(area), 0.0), math.pi * radius * radius))
-
-
-def _clip(polygon: list, g: np.ndarray, bound: float, tolerance: float) -> list:
-    """The part of a convex polygon where g . p <= bound."""
-    out = []
-    side = [float(g @ p) - bound for p in polygon]
-    for i, p in enumerate(polygon):
-        q, a, b = polygon[i - 1], side[i], side[i - 1]
-        if (a <= tolerance) != (b <= tolerance):
-            t = b / (b - a)
-            out.append(q + t * (p - q))
-        if a <= tolerance:
-            out.append(p)
-    return out
-
-
-def _edge_area(a: np.ndarray, b: np.ndarray, r: float) -> float:
-    """Signed area of the circle's intersection with the triangle (origin, a, b)."""
-    d = b - a
-    qa, qb, qc = float(d @ d), 2 * float(a @ d), float(a @ a) - r * r
-    cuts = [0.0, 1.0]
-    disc = qb * qb - 4 * qa * qc
-    if qa > 0 and disc > 0:
-        root = math.sqrt(disc)
-        cuts += [t for t in ((-qb - root) / (2 * qa), (-qb + root) / (2 * qa)) if 0 < t < 1]
-    cuts.sort()
-    area = 0.0
-    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-        p, q = a + s * d, a + e * d
-        turn = float(p[0] * q[1] - p[1] * q[0])
-        middle = 0.5 * (p + q)
-        if float(middle @ middle) <= r * r:
-            area += 0.5 * turn
-        else:
-            area += 0.5 * r * r * math.atan2(turn, float(p @ q))
-    return area
+    t = np.stack([u, v], 2) * inverse[..., None]  # (m, 3, 2): unit in-plane directions of the axes
+    t = np.concatenate([t, -t], 1)
+
+    # pieces of the lines
+    first, last = (sign * np.sqrt(np.maximum(0.0, r * r - d * d)) for sign in (-1.0, 1.0))
+    kept = ~idle
+    for k in range(6):
+        for j in range(6):
+            if j == k:
+                continue
+            along = t[:, j, 1] * t[:, k, 0] - t[:, j, 0] * t[:, k, 1]
+            across = (t[:, j] * t[:, k]).sum(1)
+            room = d[:, j] - d[:, k] * across
+            cuts, crossing = ~idle[:, j], np.abs(along) > 1e-12
+            at = room / np.where(crossing, along, 1.0)
+            last[:, k] = np.where(cuts & crossing & (along > 0), np.minimum(last[:, k], at), last[:, k])
+            first[:, k] = np.where(cuts & crossing & (along < 0), np.maximum(first[:, k], at), first[:, k])
+            outside = room < -tolerance[:, 0]
+            twice = (j < k) & (across > 0) & (np.abs(room) <= tolerance[:, 0])  # the same line counts once
+            kept[:, k] &= ~(cuts & ~crossing & (outside | twice))
+    straight = (np.where(kept, np.maximum(0.0, last - first), 0.0) * d).sum(1)
+
+    # the part of the circle: spans between the lines' crossings whose middle lies in all half-planes
+    turn, half = np.arctan2(t[..., 1], t[..., 0]), np.arccos(np.clip(d / r, -1.0, 1.0))
+    marks = np.sort(np.mod(np.concatenate([turn - half, turn + half], 1), 2 * math.pi), 1)
+    spans = np.diff(marks, axis=1, append=marks[:, :1] + 2 * math.pi)
+    middle = marks + spans / 2
+    inside = np.ones_like(middle, bool)
+    for k in range(6):
+        inside &= idle[:, k, None] | (r * np.cos(middle - turn[:, k, None]) <= d[:, k, None])
+    angle = np.where(inside, spans, 0.0).sum(1)
+    area = 0.5 * straight + 0.5 * r[:, 0] ** 2 * angle
+    return np.where(empty, 0.0, np.clip(area, 0.0, math.pi * r[:, 0] ** 2))

@@ -15,7 +15,9 @@ from ..functions import special
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """spark.checkpoint.dir; where that is unset, a local folder if driver and executors are one process, else the warehouse."""
+    alone = spark.sparkContext.master.split("[")[0] == "local"
+    return (spark.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/checkpoints" if alone else spark.conf.get("spark.sql.warehouse.dir"))).rstrip("/")
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:
@@ -131,37 +133,37 @@ def inter_set_matrix(links: DataFrame) -> DataFrame:
     return links.groupBy(F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b")).agg(F.count("*").alias("n_edges"))
 
 
-def percolation(boxes: DataFrame, labels: DataFrame, low: tuple, high: tuple) -> DataFrame:
-    """component, size, and whether its discs reach both opposite faces of a box in x, y, z, and in any of them."""
-    j = boxes.join(labels, F.col("ordinal") == F.col("node"))
-    touch = {}
-    for k, a, b in zip("xyz", low, high, strict=True):
-        touch[f"spans_{k}"] = F.bool_or(F.col(f"low_{k}") <= float(a)) & F.bool_or(F.col(f"high_{k}") >= float(b))
-    out = j.groupBy("component").agg(F.count("*").alias("size"), *[c.alias(n) for n, c in touch.items()])
-    return out.withColumn("spans_any", F.col("spans_x") | F.col("spans_y") | F.col("spans_z"))
-
+def touches_face(axis: str, bound: float, ranges: dict[str, tuple[float, float]]) -> Column:
+    """Whether a disc (c, n, radius) meets the rectangle of `ranges` in the plane axis = bound.
 
-def face_touches(boxes: DataFrame, axis: str, bound: float, ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """Discs whose chord in the plane axis = bound meets the face's ranges; half-chord sqrt(r^2 - offset^2)."""
-    n, c = F.col(f"n{axis}"), F.col(f"c{axis}")
+    The disc meets the plane in a chord around the foot of its centre, along the direction that lies in both planes; the
+    chord is cut by the rectangle's two slabs. A disc parallel to the face has no chord.
+    """
+    u, v = (k for k in "xyz" if k != axis)
+    n, nu, nv = F.col(f"n{axis}"), F.col(f"n{u}"), F.col(f"n{v}")
     flat = 1 - n * n
-    off = (F.lit(float(bound)) - c) / F.sqrt(F.when(flat > 1e-12, flat).otherwise(1.0))
-    half = F.sqrt(F.greatest(F.lit(0.0), F.col("radius") ** 2 - off**2))
-    others = [k for k in "xyz" if k != axis]
-    u, v = others
-    # centre of the chord, and its direction in the face
-    du, dv = F.col(f"n{v}") / F.sqrt(F.when(flat > 1e-12, flat).otherwise(1.0)), -F.col(f"n{u}") / F.sqrt(F.when(flat > 1e-12, flat).otherwise(1.0))
-    step = off / F.sqrt(F.when(flat > 1e-12, flat).otherwise(1.0))
-    pu, pv = F.col(f"c{u}") - step * n * F.col(f"n{u}"), F.col(f"c{v}") - step * n * F.col(f"n{v}")
+    slope = F.sqrt(F.when(flat > 1e-12, flat).otherwise(1.0))
+    off = (F.lit(float(bound)) - F.col(f"c{axis}")) / slope
+    low, high = -F.sqrt(F.greatest(F.lit(0.0), F.col("radius") ** 2 - off * off)), F.sqrt(F.greatest(F.lit(0.0), F.col("radius") ** 2 - off * off))
+    hits = (flat > 1e-12) & (F.abs(off) <= F.col("radius"))
+    for k, mine, d in ((u, nu, nv / slope), (v, nv, -nu / slope)):
+        foot = F.col(f"c{k}") - off * n * mine / slope
+        a, b = ((F.lit(float(x)) - foot) for x in ranges[k])
+        moves = F.abs(d) > 1e-12
+        step = F.when(moves, d).otherwise(1.0)
+        low = F.when(moves, F.greatest(low, F.least(a / step, b / step))).otherwise(low)
+        high = F.when(moves, F.least(high, F.greatest(a / step, b / step))).otherwise(high)
+        hits = hits & (moves | ((a <= 0) & (b >= 0)))
+    return hits & (high >= low)
 
-    def clip(p: Column, d: Column, low: float, high: float) -> tuple[Column, Column]:
-        t = F.when(F.abs(d) > 1e-12, d).otherwise(1e-12)
-        a, b = (F.lit(float(low)) - p) / t, (F.lit(float(high)) - p) / t
-        return F.least(a, b), F.greatest(a, b)
 
-    (u0, u1), (v0, v1) = clip(pu, du, *ranges[u]), clip(pv, dv, *ranges[v])
-    hits = (flat > 1e-12) & (F.abs(off) <= F.col("radius")) & (F.least(u1, v1, half) >= F.greatest(u0, v0, -half))
-    return boxes.filter(hits)
+def percolation(boxes: DataFrame, labels: DataFrame, low: tuple, high: tuple) -> DataFrame:
+    """component, size, and whether its discs touch both opposite faces of a box in x, y, z, and in any of them."""
+    ranges = {k: (float(a), float(b)) for k, a, b in zip("xyz", low, high, strict=True)}
+    touch = {f"t{side}_{k}": touches_face(k, ranges[k][side], ranges) for k in "xyz" for side in (0, 1)}
+    j = boxes.select("ordinal", *[c.alias(n) for n, c in touch.items()]).join(labels, F.col("ordinal") == F.col("node"))
+    out = j.groupBy("component").agg(F.count("*").alias("size"), *[(F.bool_or(f"t0_{k}") & F.bool_or(f"t1_{k}")).alias(f"spans_{k}") for k in "xyz"])
+    return out.withColumn("spans_any", F.col("spans_x") | F.col("spans_y") | F.col("spans_z"))
 
 
 def voxel_candidates(boxes: DataFrame, origin: tuple, cell: tuple, shape: tuple[int, int, int]) -> DataFrame:
@@ -202,8 +204,7 @@ def voxel_areas(boxes: DataFrame, origin: tuple, cell: tuple, shape: tuple[int,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             g = rows[geometry].to_numpy(float)
-            area = [special.disc_box_area(r[0:3], r[3:6], r[6], r[7:10], r[10:13]) for r in g]
-            yield rows[keep].assign(area=area)
+            yield rows[keep].assign(area=special.disc_box_areas(g[:, 0:3], g[:, 3:6], g[:, 6], g[:, 7:10], g[:, 10:13]))
 
     part = c.filter(~inside).select(*keep, *geometry).mapInPandas(run, "ordinal long, set_id int, flat long, area double")
     return whole.unionByName(part).filter(F.col("area") > 1e-12)
@@ -211,7 +212,6 @@ def voxel_areas(boxes: DataFrame, origin: tuple, cell: tuple, shape: tuple[int,
 
 def p32_rollup(areas: DataFrame, volume: float) -> DataFrame:
     """flat, set_id (NULL: all sets), area, n_discs, p32 by grouping sets."""
-    areas.createOrReplaceTempView("__areas")
     out = areas.sparkSession.sql("SELECT flat, set_id, sum(area) AS area, count(*) AS n_discs FROM {areas} GROUP BY GROUPING SETS ((flat, set_id), (flat))", areas=areas)
     return out.withColumn("p32", F.col("area") / F.lit(float(volume)))
 

@@ -46,21 +46,6 @@ def radius(law: str, low: float, high: float, u: Column, exponent: float = 2.0,
     raise ValueError(f"unknown size law {law!r}")
 
 
-def poisson(mean: Column, u: Column, most: int = 30) -> Column:
-    """Poisson number by inverse distribution function for small means; above `most`, the rounded normal of the same mean."""
-    m = F.greatest(mean, F.lit(0.0))
-    start = F.struct(F.lit(0).alias("n"), F.exp(-F.least(m, F.lit(float(most)))).alias("p"), F.exp(-F.least(m, F.lit(float(most)))).alias("c"))
-
-    def step(t, k):
-        more = u > t["c"]
-        p = t["p"] * m / k
-        return F.struct(F.when(more, k).otherwise(t["n"]).cast("int").alias("n"), p.alias("p"), F.when(more, t["c"] + p).otherwise(t["c"]).alias("c"))
-
-    small = F.aggregate(F.sequence(F.lit(1), F.lit(4 * most)), start, step, lambda t: t["n"])
-    z = F.sqrt(F.lit(-2.0) * F.log(F.greatest(u, F.lit(1e-15)))) * F.cos(u * 1e6)
-    return F.when(m <= most, small).otherwise(F.greatest(F.lit(0.0), F.round(m + F.sqrt(m) * z)).cast("int"))
-
-
 @F.pandas_udf(T.LongType())
 def poisson_count(mean: pd.Series, key: pd.Series) -> pd.Series:
     """Poisson numbers, each from a generator seeded by the row's key."""

@@ -569,12 +569,35 @@ def inter_set_matrix(v: Views) -> DataFrame:
     return D.inter_set_matrix(D.edges(v.discs, 10.0))
 
 
-@query()
+def _face_sql(axis: str, bound: float, low: float, high: float) -> str:
+    """Whether a disc's chord in the plane axis = bound meets the square from low to high."""
+    u, w = (k for k in "xyz" if k != axis)
+    slope = f"sqrt(1 - n{axis} * n{axis})"
+    off = f"(({bound}::DOUBLE - c{axis}) / {slope})"
+    half = f"sqrt(greatest(0, radius * radius - {off} * {off}))"
+    parts = []
+    for k, d in ((u, f"(n{w} / {slope})"), (w, f"(-n{u} / {slope})")):
+        foot = f"(c{k} - {off} * n{axis} * n{k} / {slope})"
+        parts.append((foot, d, f"(({low}::DOUBLE - {foot}) / nullif({d}, 0))", f"(({high}::DOUBLE - {foot}) / nullif({d}, 0))"))
+    still = " AND ".join(f"(abs({d}) > 1e-12 OR {foot} BETWEEN {low} AND {high})" for foot, d, _, _ in parts)
+    lows = ", ".join([f"-{half}", *[f"CASE WHEN abs({d}) > 1e-12 THEN least({a}, {b}) END" for _, d, a, b in parts]])
+    highs = ", ".join([half, *[f"CASE WHEN abs({d}) > 1e-12 THEN greatest({a}, {b}) END" for _, d, a, b in parts]])
+    return f"(CASE WHEN 1 - n{axis} * n{axis} <= 1e-12 THEN false ELSE abs({off}) <= radius AND {still} AND least({highs}) >= greatest({lows}) END)"
+
+
+_REACH_SQL = "sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(node, seen) AS (SELECT ordinal, ordinal FROM discs UNION SELECT r.node, s.b FROM reach r JOIN sym s ON r.seen = s.a), lab AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"
+_SPANS = {k: f"bool_or({_face_sql(k, 5, 5, 95)}) AND bool_or({_face_sql(k, 95, 5, 95)})" for k in "xyz"}
+
+
+@query(f"WITH {NORMALS.format('discs').replace('n AS', 'nrm AS', 1)}, {EDGES}, {_REACH_SQL} SELECT component, count(*) AS size, {', '.join(f'{sql} AS spans_{k}' for k, sql in _SPANS.items())}, {' OR '.join(f'({sql})' for sql in _SPANS.values())} AS spans_any FROM nrm JOIN lab ON ordinal = node GROUP BY component")
 def percolation(v: Views) -> DataFrame:
     labels = D.components(v.discs.select(F.col("ordinal").alias("node")), D.edges(v.discs, 10.0))
     return D.percolation(D.with_boxes(v.discs), labels, (5, 5, 5), (95, 95, 95))
 
 
+ORACLES["percolation"] = ORACLES["percolation"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 CANDIDATES = f"{BOXES}, {VOXELS}, cd AS (SELECT ordinal, set_id, flat, bx.* EXCLUDE (ordinal, set_id), x, y, z FROM bx, vx WHERE " + " AND ".join(f"vx.{n} BETWEEN greatest(0, floor((c{k} - h{k}) / 5)) AND least(19, floor((c{k} + h{k}) / 5))" for k, n in zip("xyz", "ijk", strict=True)) + ")"
 
 

@@ -8,23 +8,49 @@ from stratafold.functions import geometry as G
 from stratafold.functions import special as S
 
 
+def area(center, normal, radius, low, high):
+    return S.disc_box_areas(*(np.atleast_2d(np.asarray(x, float)) for x in (center, normal)), np.array([radius], float), *(np.atleast_2d(np.asarray(x, float)) for x in (low, high)))[0]
+
+
 def test_disc_box_area():
-    up = np.array([0.0, 0.0, 1.0])
+    up = (0, 0, 1)
     for high, want in ((2.0, math.pi), (0.0, math.pi / 2)):
-        got = S.disc_box_area(np.zeros(3), up, 1.0, np.array([-2.0, -2, -1]), np.array([high, 2.0, 1]))
-        assert abs(got - want) < 1e-12
-    assert abs(S.disc_box_area(np.zeros(3), up, 1.0, np.array([0.0, 0, -1]), np.array([2.0, 2, 1])) - math.pi / 4) < 1e-12
-    assert S.disc_box_area(np.zeros(3), up, 1.0, np.array([5.0, 5, 5]), np.array([6.0, 6, 6])) == 0.0
+        assert abs(area((0, 0, 0), up, 1, (-2, -2, -1), (high, 2, 1)) - want) < 1e-12
+    assert abs(area((0, 0, 0), up, 1, (0, 0, -1), (2, 2, 1)) - math.pi / 4) < 1e-12
+    assert area((0, 0, 0), up, 1, (5, 5, 5), (6, 6, 6)) == 0.0
+    # inside the disc; beside its plane; in a face; a square cut off by chords
+    assert abs(area((0, 0, 0), up, 9, (-1, -1, -1), (1, 2, 1)) - 6) < 1e-12
+    assert area((0, 0, 0), up, 1, (-1, -1, 0.5), (1, 1, 1)) == 0.0
+    assert abs(area((0, 0, 0), up, 1, (-1, -1, 0), (1, 1, 1)) - math.pi) < 1e-12
+    # the plane holds an edge of the box: one line of two faces
+    s = math.sqrt(0.5)
+    assert abs(area((0, 0, 0), (s, s, 0), 1, (-9, 0, -9), (0, 9, 9)) - math.pi / 2) < 1e-12
+    assert area((0, 0, 0), (s, s, 0), 1, (0, 0, -9), (9, 9, 9)) < 1e-12
 
 
 def test_disc_area_is_conserved_over_cells():
     r = np.random.default_rng(3)
-    for _ in range(20):
+    cells = np.array([(i, j, k) for i in range(4) for j in range(4) for k in range(4)], float) * 2.5
+    normals = [n / np.linalg.norm(n) for n in r.normal(size=(40, 3))] + [np.array(n, float) for n in ((1, 0, 0), (0, 1, 0), (0.6, 0.8, 0), (0, -0.6, 0.8))]
+    for n in normals:
+        center, radius = r.uniform(3, 7, 3), r.uniform(0.2, 2.9)
+        areas = S.disc_box_areas(np.tile(center, (64, 1)), np.tile(n, (64, 1)), np.full(64, radius), cells, cells + 2.5)
+        assert abs(areas.sum() - math.pi * radius**2) < 1e-9
+
+
+def test_disc_area_against_sampled_points():
+    r = np.random.default_rng(4)
+    for _ in range(60):
         n = r.normal(size=3)
         n /= np.linalg.norm(n)
-        center, radius = r.uniform(3, 7, 3), r.uniform(0.2, 2.9)
-        total = sum(S.disc_box_area(center, n, radius, np.array([i, j, k]) * 2.5, np.array([i + 1, j + 1, k + 1]) * 2.5) for i in range(4) for j in range(4) for k in range(4))
-        assert abs(total - math.pi * radius**2) < 1e-9
+        u = np.cross(n, r.normal(size=3))
+        u /= np.linalg.norm(u)
+        c, radius, low = r.uniform(-1, 1, 3), r.uniform(0.3, 2), r.uniform(-2, 0, 3)
+        high = low + r.uniform(0.2, 2.5, 3)
+        rho, phi = radius * np.sqrt(r.random(40_000)), 2 * math.pi * r.random(40_000)
+        points = c + np.outer(rho * np.cos(phi), u) + np.outer(rho * np.sin(phi), np.cross(n, u))
+        share = ((points >= low) & (points <= high)).all(1).mean()
+        assert abs(area(c, n, radius, low, high) / (math.pi * radius**2) - share) < 0.012
 
 
 def test_quantiles_and_intervals():

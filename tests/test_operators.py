@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratafold.operators import discs as D
 from stratafold.operators import fields, holes, intake, intensity, orientations
@@ -69,6 +70,16 @@ def test_discs_that_touch(spark):
     assert labels == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1}
 
 
+def test_percolation_needs_the_faces(spark):
+    schema = "ordinal long, cx double, cy double, cz double, radius double, dip_direction double, dip double, set_id int"
+    rows = [(1, 5.0, 5.0, 5.0, 6.0, 90.0, 0.0, 1), (2, 5.0, 50.0, 5.0, 6.0, 90.0, 0.0, 1), (3, 0.5, 5.0, 5.0, 1.0, 90.0, 0.0, 1), (4, 5.0, 5.0, 30.0, 40.0, 0.0, 0.0, 1), (5, 5.0, 5.0, 5.0, 6.0, 90.0, 90.0, 1)]
+    d = spark.createDataFrame(rows, schema)
+    labels = d.select(F.col("ordinal").alias("node"), F.col("ordinal").alias("component"))
+    got = {r.component: (r.spans_x, r.spans_y, r.spans_z, r.spans_any) for r in D.percolation(D.with_boxes(d), labels, (0, 0, 0), (10, 10, 10)).collect()}
+    # 2 lies beside the box, 4 above it, 3 touches one face, 5 stands across x
+    assert got == {1: (True, True, False, True), 2: (False,) * 4, 3: (False,) * 4, 4: (False,) * 4, 5: (False, True, True, True)}
+
+
 def test_records(spark, hole):
     collars = hole[0]
     rows = spark.createDataFrame([(1, 1, 0.0, 5.0), (2, 1, 5.0, 4.0), (3, 9, 0.0, 1.0), (4, None, 0.0, 1.0), (5, 1, 0.0, 25.0), (6, 1, None, 2.0)], "id int, hole_id long, from_depth double, to_depth double")
@@ -94,6 +105,17 @@ def test_sources(spark, tmp_path):
     c = tables.standard_table(tables.read_text_table(spark, str(tmp_path / "c.csv")), "collars")
     got = {r.hole_id: r for r in c.collect()}
     assert got["A"].collar_x == 1 and got["B"].collar_x is None and got["B"].original_values["East"] == "x"
+    for table, fields in tables.ALIASES.items():
+        for field, names in fields.items():
+            assert all(tables.detect_mapping([n.upper(), "other"], table) == ({n.upper(): field}, []) for n in names)
+    assert tables.detect_mapping(["Hole-ID", "East", "easting", "\ufeff AZ "], "collars") == ({"Hole-ID": "borehole_id", "\ufeff AZ ": "azimuth"}, ["collar_x"])
+    head = ",".join(tables.DISC_COLUMNS)
+    (tmp_path / "d.csv").write_text(f"{head}\na,1,2,3,10,20,5,fault,\nb,1,2,3,10,20,5,fault,2\n")
+    assert [(r.structure_id, r.radius, r.domain_id) for r in tables.read_discs(spark, str(tmp_path / "d.csv")).collect()] == [("a", 5.0, None), ("b", 5.0, 2)]
+    for line in ("a,1,x,3,10,20,5,fault,", "a,1,2,3,10,20,inf,fault,", "a,1,2,3,10,20,5,fault,k", "b,1,2,3,10,20,5,fault,1\nb,1,2,3,10,20,5,fault,1"):
+        (tmp_path / "d2.csv").write_text(f"{head}\n{line}\n")
+        with pytest.raises(ValueError):
+            tables.read_discs(spark, str(tmp_path / "d2.csv"))
     (tmp_path / "bad.csv").write_text("a,\n1,2\n")
     with pytest.raises(ValueError):
         tables.read_text_table(spark, str(tmp_path / "bad.csv"))
@@ -103,8 +125,13 @@ def test_sources(spark, tmp_path):
     assert [(r.well, r.depth, r.curve, r.value) for r in tables.read_las(spark, str(tmp_path / "w.las")).collect()] == [("K1", 1.0, "GR", 50.5)]
     tables.save_project({"collars": c.drop("original_values")}, str(tmp_path / "p"))
     assert tables.open_project(spark, str(tmp_path / "p"))["collars"].count() == 2
+    tables.save_project({"collars": c.drop("original_values").limit(1)}, str(tmp_path / "p"))
+    assert tables.open_project(spark, str(tmp_path / "p"))["collars"].count() == 1
+    (tmp_path / "p" / "manifests" / "000000000002" / "_SUCCESS").unlink()
     good = spark.createDataFrame([("A", 0.0, 5.0, "rqd", 50.0, "%")], "hole_id string, from_depth double, to_depth double, parameter_name string, value double, unit string")
     assert tables.import_scalars(good, c, {"rqd": (0, 100)}).count() == 1
+    with pytest.raises(ValueError):
+        tables.import_scalars(good.withColumn("value", F.lit(float("inf"))), c)
     with pytest.raises(ValueError):
         tables.import_scalars(good.withColumnRenamed("hole_id", "h").selectExpr("'Z' as hole_id", "from_depth", "to_depth", "parameter_name", "value", "unit"), c)
 
