@@ -12,8 +12,9 @@ LOCAL_ROOT = "file:///tmp/checkpoints"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; LOCAL_ROOT where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_ROOT).rstrip("/")
+    """The folder in spark.checkpoint.dir; where that is unset, LOCAL_ROOT if driver and executors are one process, else the warehouse."""
+    alone = spark.sparkContext.master.split("[")[0] == "local"
+    return (spark.conf.get("spark.checkpoint.dir", None) or (LOCAL_ROOT if alone else spark.conf.get("spark.sql.warehouse.dir"))).rstrip("/")
 
 
 def stage(frame: DataFrame, label: str) -> DataFrame:
@@ -51,4 +52,8 @@ def small(frame: DataFrame, bound: int) -> DataFrame:
     """A staged `frame`, marked for broadcast if it has at most `bound` rows and SMALL_BYTES bytes; else as it is, for a shuffled join."""
     rows = frame.limit(bound + 1).select(F.octet_length(F.to_json(F.struct(F.struct(*frame.columns)))).alias("bytes"))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    return F.broadcast(frame) if n <= bound and size <= SMALL_BYTES else frame
+    if n > bound or size > SMALL_BYTES:
+        return frame
+    out = F.broadcast(frame)
+    out._staged_at = getattr(frame, "_staged_at", None)
+    return out
