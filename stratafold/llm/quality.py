@@ -4,7 +4,7 @@ The model is trained here from a bounded sample of labelled rows: SAMPLE of each
 Three quarters are fitted, one quarter calibrates (Platt), weighted back to the classes' true shares. All rows are scored
 in Arrow batches over their whole texts against the fixed threshold THRESHOLD.
 
-Features, as shares of their kind in a text: hashed words and word pairs, and hashed 4-byte runs.
+Features, as shares of their kind in a text: hashed words and word pairs, and hashed 4-character runs.
 
 Defined cases: an empty table gives no rows; a null or empty text has no words and fails the base rules; without labels
 of both classes every text that passes the base rules is kept (score 1); rows with equal doc_id are scored each; rows
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -72,15 +72,19 @@ class _Text:
         return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), pair
 
     def char_features(self) -> np.ndarray:
-        """Hashed 4-byte runs at each byte; -1 where a row has fewer bytes left."""
-        raw = self.raw
-        out = np.full(len(raw), -1, np.int64)
-        if len(raw) > 3:
-            four = raw[:-3].astype(np.uint32) | raw[1:-2].astype(np.uint32) << np.uint32(8) | raw[2:-1].astype(np.uint32) << np.uint32(16) | raw[3:].astype(np.uint32) << np.uint32(24)
-            out[:-3] = (four * np.uint32(2654435761)) >> np.uint32(32 - CHAR_BITS)
+        """Hashed runs of 4 code points at each code point; -1 where a row has fewer left. Sets each row's first code point."""
+        points = np.frombuffer(self.raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.char_offsets = np.concatenate([[0], np.cumsum((self.raw & 0xC0) != 0x80)])[self.offsets]
+        out = np.full(len(points), -1, np.int64)
+        if len(points) > 3:
+            four = points[:-3].copy()
+            for k in (1, 2, 3):
+                four *= np.uint64(0x9E3779B97F4A7C15)
+                four += points[k : len(points) - 3 + k]
+            out[:-3] = (four * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - CHAR_BITS)).astype(np.int64)
         for k in (1, 2, 3):
-            at = self.offsets[1:] - k
-            out[at[at >= self.offsets[:-1]]] = -1
+            at = self.char_offsets[1:] - k
+            out[at[at >= self.char_offsets[:-1]]] = -1
         return out
 
     def rows(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -90,7 +94,7 @@ class _Text:
         index, value = [], []
         for i in range(len(self.offsets) - 1):
             w = np.concatenate([uni[self.first[i] : self.first[i + 1]], pair[self.first[i] : self.first[i + 1]]])
-            c = char[self.offsets[i] : self.offsets[i + 1]]
+            c = char[self.char_offsets[i] : self.char_offsets[i + 1]]
             wi, wn = np.unique(w[w >= 0], return_counts=True)
             ci, cn = np.unique(c[c >= 0], return_counts=True)
             index.append(np.concatenate([wi, ci + (1 << WORD_BITS)]).astype(np.int32))
@@ -103,8 +107,8 @@ class _Text:
         one = K.row_sums(words[uni] + words[pair], self.first)
         n = np.maximum(2 * self.n_words - (self.n_words > 0), 1)
         char = self.char_features()
-        two = K.row_sums(np.append(model.chars, 0.0)[char], self.offsets)
-        m = np.maximum(np.diff(self.offsets) - 3, 1)
+        two = K.row_sums(np.append(model.chars, 0.0)[char], self.char_offsets)
+        m = np.maximum(np.diff(self.char_offsets) - 3, 1)
         return SCALE * (one / n + two / m) + model.bias
 
     def base(self) -> dict[str, np.ndarray]:
@@ -153,7 +157,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: t
     counts = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
     parts = [given.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[k]) for k in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # sum(per_class) rows
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id"), counts
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
+    # of rows with one doc_id the first by its text's hash, so that reruns agree
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return found.withColumn("__n", rank).filter("__n = 1").drop("__n"), counts
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +172,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE) -> Model | None:
     """The calibrated model; None without labels of both classes."""
     sample, counts = labelled_sample(docs, labels, "quality", per_class)
-    found = sample.mapInArrow(_extract, "doc_id long, label int, index binary, value binary").limit(2 * sum(per_class)).toArrow()
+    found = sample.mapInArrow(_extract, "doc_id long, label int, index binary, value binary").toArrow()
     if not found.num_rows:
         return None
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")

@@ -172,7 +172,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray
 def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE) -> Model | None:
     """The classifier; None without labels of both classes among the rows that are not held out."""
     sample, counts = labelled_sample(docs, labels, "toxic", per_class, ~held_out(F.col("doc_id")))
-    found = sample.mapInArrow(_extract, "doc_id long, label int, features binary, patterns binary").limit(2 * sum(per_class)).toArrow()
+    found = sample.mapInArrow(_extract, "doc_id long, label int, features binary, patterns binary").toArrow()
     label = found.column("label").to_numpy().astype(float) if found.num_rows else np.zeros(0)
     if not 0 < label.sum() < len(label):
         return None
