@@ -248,3 +248,17 @@ def resolve_templates(discs: DataFrame, templates: DataFrame) -> DataFrame:
     t = F.broadcast(templates.select("template_id", "priority", F.col("set_id").alias("t_set"), F.col("domain_id").alias("t_domain")))
     match = (F.col("t_set").isNull() | (F.col("t_set") == F.col("set_id"))) & (F.col("t_domain").isNull() | (F.col("t_domain") == F.col("domain_id")))
     return discs.join(t, match).groupBy("ordinal").agg(F.max_by("template_id", F.struct("priority", -F.col("template_id"))).alias("template_id"))
+
+
+def neighbours(links: DataFrame) -> DataFrame:
+    """node, neighbour: each link from both its ends."""
+    return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("neighbour"))
+
+
+def generation_bounds(bounds: DataFrame, greatest_radius: Column, layers: int, cell: tuple) -> DataFrame:
+    """Bounds min_x.. max_z moved out on every side by the greatest radius, or by `layers` cells if that is more."""
+    moved = {}
+    for k, c in zip("xyz", cell, strict=True):
+        margin = F.greatest(greatest_radius, F.lit(float(layers * c)))
+        moved |= {f"min_{k}": F.col(f"min_{k}") - margin, f"max_{k}": F.col(f"max_{k}") + margin}
+    return bounds.withColumns(moved)

@@ -237,3 +237,22 @@ def can_complete(rows: DataFrame, found: DataFrame) -> DataFrame:
     a = rows.agg(F.count("*").alias("n_rows"), F.count_if(F.col("state") == PENDING).alias("n_pending"))
     b = found.agg(F.count_if(F.col("severity") == "ERROR").alias("n_errors"))
     return a.crossJoin(b).withColumn("complete", (F.col("n_rows") > 0) & (F.col("n_pending") == 0) & (F.col("n_errors") == 0))
+
+
+def coverage_errors(intervals: DataFrame, by: list[str], ident: str, tolerance: float = 1e-10) -> DataFrame:
+    """Intervals that reach into the next one of their group by more than `tolerance`: `by`, ident, next_id, overlap."""
+    order = Window.partitionBy(*by).orderBy("from_depth", "to_depth", ident)
+    nexts = intervals.withColumns({"next_id": F.lead(ident).over(order), "overlap": F.col("to_depth") - F.lead("from_depth").over(order)})
+    return nexts.filter(F.col("overlap") > tolerance).select(*by, ident, "next_id", "overlap")
+
+
+def p32_of_spacing(rows: DataFrame, strict: bool = True) -> DataFrame:
+    """`rows` (spacing_m, basis) with p32 = 1 / spacing, allowed for true normal spacings above 0 only.
+
+    Other rows are an error; with `strict` off they have a null p32 and refused is true.
+    """
+    allowed = F.coalesce((F.col("basis") == "TRUE_NORMAL") & (F.col("spacing_m") > 0), F.lit(False))
+    out = rows.withColumns({"refused": ~allowed, "p32": F.when(allowed, 1 / F.col("spacing_m"))})
+    if strict and (n := out.filter("refused").count()):
+        raise ValueError(f"{n} rows without a true normal spacing")
+    return out

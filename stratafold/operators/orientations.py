@@ -107,3 +107,17 @@ def ranked_pairs(models: DataFrame) -> DataFrame:
     a = models.select(F.col("set_id").alias("a"), *[F.col(f"n{k}").alias(f"a{k}") for k in "xyz"])
     b = models.select(F.col("set_id").alias("b"), *[F.col(f"n{k}").alias(f"b{k}") for k in "xyz"])
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", G.acute_angle(G.vector("ax", "ay", "az"), G.vector("bx", "by", "bz")).alias("angle"))
+
+
+def axial_summary(normals: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Mean axis (turned up) and resultant share of the normals of each group, all turned to the side of the first by `order`.
+
+    The first normals are found by a partial aggregation and joined, so that no group is ordered in one task.
+    """
+    first = normals.groupBy(*by).agg(F.min_by(F.struct("nx", "ny", "nz"), order).alias("__first"))
+    j = normals.join(first, by)
+    side = F.when(sum(F.col(f"n{k}") * F.col(f"__first.n{k}") for k in "xyz") < 0, -1.0).otherwise(1.0)
+    g = j.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(side * F.col(f"n{k}")).alias(f"s{k}") for k in "xyz"])
+    length = F.sqrt(sum(F.col(f"s{k}") * F.col(f"s{k}") for k in "xyz"))
+    up = F.when(F.col("sz") < 0, -1.0).otherwise(1.0)
+    return g.select(*by, "n", *[F.when(length > 1e-12, up * F.col(f"s{k}") / length).alias(f"mean_n{k}") for k in "xyz"], (length / F.col("n")).alias("resultant"))

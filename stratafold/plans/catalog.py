@@ -805,6 +805,38 @@ def nearest_axis(v: Views) -> DataFrame:
     return state.nearest_axis(orientations.with_normals(v.discs), m, "ordinal")
 
 
+@query(f"WITH {EDGES} SELECT a AS node, b AS neighbour FROM edges UNION ALL SELECT b, a FROM edges")
+def disc_neighbours(v: Views) -> DataFrame:
+    return D.neighbours(D.edges(v.discs, 10.0))
+
+
+@query(f"SELECT {r(*[f'min(c{k}) - greatest(max(radius), 10) AS min_{k}' for k in 'xyz'], *[f'max(c{k}) + greatest(max(radius), 10) AS max_{k}' for k in 'xyz'])} FROM discs")
+def generation_bounds(v: Views) -> DataFrame:
+    ends = v.discs.agg(F.max("radius").alias("greatest"), *[f(f"c{k}").alias(f"{n}_{k}") for k in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
+    return D.generation_bounds(ends, F.col("greatest"), 2, CELL).drop("greatest")
+
+
+@query(f"""WITH {NORMALS.format('discs')}, f AS (SELECT set_id, arg_min(nx, ordinal) AS fx, arg_min(ny, ordinal) AS fy, arg_min(nz, ordinal) AS fz FROM n GROUP BY set_id),
+t AS (SELECT set_id, CASE WHEN nx * fx + ny * fy + nz * fz < 0 THEN -1 ELSE 1 END AS d, nx, ny, nz FROM n JOIN f USING (set_id)),
+g AS (SELECT set_id, count(*) AS n, sum(d * nx) AS sx, sum(d * ny) AS sy, sum(d * nz) AS sz FROM t GROUP BY set_id),
+l AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS len, CASE WHEN sz < 0 THEN -1 ELSE 1 END AS up FROM g)
+SELECT set_id, n, {r('up * sx / len AS mean_nx', 'up * sy / len AS mean_ny', 'up * sz / len AS mean_nz', 'len / n AS resultant')} FROM l""")
+def axial_summary(v: Views) -> DataFrame:
+    return orientations.axial_summary(orientations.with_normals(v.discs), ["set_id"], "ordinal")
+
+
+@query(f"WITH o AS (SELECT hole_id, record_id, lead(record_id) OVER w AS next_id, to_depth - lead(from_depth) OVER w AS overlap FROM intervals_raw WINDOW w AS (PARTITION BY hole_id ORDER BY from_depth, to_depth, record_id)) SELECT hole_id, record_id, next_id, {r('overlap')} FROM o WHERE overlap > 1e-10")
+def coverage_errors(v: Views) -> DataFrame:
+    return intake.coverage_errors(v.intervals_raw, ["hole_id"], "record_id")
+
+
+@query(f"WITH s AS (SELECT record_id, to_depth - from_depth - 5 AS spacing, record_id % 4 <> 0 AS normal FROM intervals_raw) SELECT record_id, NOT (normal AND spacing > 0) AS refused, {r('CASE WHEN normal AND spacing > 0 THEN 1 / spacing END AS p32')} FROM s")
+def p32_of_spacing(v: Views) -> DataFrame:
+    basis = F.when(F.col("record_id") % 4 != 0, "TRUE_NORMAL").otherwise("ALONG_HOLE")
+    rows = v.intervals_raw.select("record_id", (F.col("to_depth") - F.col("from_depth") - 5).alias("spacing_m"), basis.alias("basis"))
+    return intake.p32_of_spacing(rows, strict=False).select("record_id", "refused", "p32")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: P10 of every hole, interval and set."""
     return QUERIES["p10_intervals"](spark, sf_dir)

@@ -2,12 +2,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from stratafold.operators import state
+from stratafold.operators import intake, state
 from stratafold.plans import catalog
 from stratafold.plans.views import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-CHEAP = ["p10_intervals", "record_counts", "classify_records", "merge_findings", "interval_overlaps", "jv_rqd", "orientation_roundtrip", "fisher_by_set", "trajectory_points", "domain_split", "stratified_holdout", "world_to_voxel", "variogram_lags", "sphere_pairs", "template_resolve", "size_moments", "joint_set_diagnostics", "synchronized_samples"]
+CHEAP = ["p10_intervals", "record_counts", "classify_records", "merge_findings", "interval_overlaps", "jv_rqd", "orientation_roundtrip", "fisher_by_set", "trajectory_points", "domain_split", "stratified_holdout", "world_to_voxel", "variogram_lags", "sphere_pairs", "template_resolve", "size_moments", "joint_set_diagnostics", "synchronized_samples", "percolation", "generation_bounds", "axial_summary", "coverage_errors", "p32_of_spacing", "disc_neighbours"]
 
 
 def tidy(rows, names):
@@ -27,6 +27,14 @@ def test_equals_sql(spark, name):
     assert tidy([tuple(r) for r in got.collect()], got.columns) == tidy(want.fetchall(), names)
 
 
+def test_spacing_without_a_basis_is_an_error(spark):
+    rows = spark.createDataFrame([(0.5, "TRUE_NORMAL"), (0.5, None), (0.0, "TRUE_NORMAL")], "spacing_m double, basis string")
+    assert [(r.p32, r.refused) for r in intake.p32_of_spacing(rows, strict=False).collect()] == [(2.0, False), (None, True), (None, True)]
+    with pytest.raises(ValueError):
+        intake.p32_of_spacing(rows)
+    assert intake.p32_of_spacing(rows.limit(0)).collect() == []
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.ORACLES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
