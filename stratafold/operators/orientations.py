@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -48,8 +48,11 @@ def fisher(rows: DataFrame, keys: list[str], least: int = 3, method: str = "sets
 
 def axial_resultant(rows: DataFrame, keys: list[str], order: str, weight: str | None = None) -> DataFrame:
     """Resultants of axes: each is turned to the side of its key's first one, then summed."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    first = G.vector(*[F.first(f"n{k}").over(w) for k in "xyz"])
+    # the first axis by a partial aggregation, so that no key is ordered in one task
+    ends = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(F.struct("nx", "ny", "nz"), order).alias("__first"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    rows = rows.join(ends, same).drop(*[f"__{k}" for k in keys])
+    first = G.vector(*[F.col(f"__first.n{k}") for k in "xyz"])
     side = F.when(G.dot(first, G.vector("nx", "ny", "nz")) < 0, -1.0).otherwise(1.0)
     turned = rows.withColumn("__side", side)
     turned = turned.withColumns({f"n{k}": F.col(f"n{k}") * F.col("__side") for k in "xyz"})
