@@ -6,6 +6,11 @@ MIN_DOCS texts or more have it there, else variable; a line's template is its le
 whose constants are at least SIMILAR of its tokens and that lines of MIN_DOCS distinct texts share is recurring, and every
 line of it is dropped. So the parse doesn't depend on the order of lines, and splits over machines.
 
+Fields whose values are words become constants as the corpus grows, and would split their template into rare parts. So a
+line has a wide template beside: of its tokens without a digit, the rarest at their places are taken as fields, FIELDS of
+its tokens at most, and the others are its constants, again SIMILAR of its tokens at least. Lines of a wide template that
+recurs are dropped as well, so a template is found at every size of the corpus if its words are commoner than its fields.
+
 Documents with equal texts count once. Only leaves that MIN_DOCS texts share have their lines read again, as distinct lines
 with counts; sums are made before they are shuffled, so a frequent line costs a row per task.
 
@@ -23,6 +28,8 @@ from .staging import documents, small, stage
 MIN_DOCS = 8
 LEADING = 2
 SIMILAR = 0.5
+#: Share of a line's tokens that may be fields of words, in whole tokens.
+FIELDS = 0.25
 #: Rows of a table of leaves, lines or documents that may be broadcast.
 SMALL_ROWS = 500_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -56,15 +63,24 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFram
     texts = _lines(docs).join(small(shared, SMALL_ROWS), "leaf").select("leaf", F.xxhash64("line").alias("line_hash"), "line")
     one = texts.groupBy("leaf", "line_hash").agg(F.first("line").alias("line")).join(weights, ["leaf", "line_hash"])
     each = stage(one.select("leaf", "line_hash", "texts", F.posexplode(tokens(F.col("line"))).alias("place", "token")).withColumn("token", F.xxhash64(masked(F.col("token")))), "line-tokens")
-    constants = each.filter(F.col("token") != F.xxhash64(F.lit(VARIABLE))).groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "place", "token")
+    word = F.col("token") != F.xxhash64(F.lit(VARIABLE))
+    constants = each.filter(word).groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).filter(F.col("n") >= min_docs)
     constants = stage(constants, "line-constants")
-    fixed = each.join(small(constants, SMALL_ROWS), ["leaf", "place", "token"]).groupBy("leaf", "line_hash").agg(F.count("*").alias("fixed"), F.sum(F.shiftright(F.xxhash64("place", "token"), 16)).alias("content"))
-    length = each.groupBy("leaf", "line_hash").agg(F.count("*").alias("length"))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "place", "token"))).alias("ranked")  # a line's own tokens
+    held = each.join(small(constants, SMALL_ROWS), ["leaf", "place", "token"])
+    fixed = held.groupBy("leaf", "line_hash").agg(F.count("*").alias("fixed"), F.sum(F.shiftright(F.xxhash64("place", "token"), 16)).alias("content"), ranked)
+    length = each.groupBy("leaf", "line_hash").agg(F.count("*").alias("length"), F.count_if(word).alias("words"))
     lines = fixed.join(length, ["leaf", "line_hash"]).filter(F.col("fixed") >= SIMILAR * F.col("length"))
-    lines = stage(lines.select("leaf", "line_hash", F.xxhash64("leaf", "content").alias("template")), "line-templates")
+    fields = F.floor(FIELDS * F.col("length"))
+    kept = F.greatest(F.ceil(SIMILAR * F.col("length")), F.col("words") - fields).cast("int")
+    wide = F.when((fields > 0) & (F.col("fixed") >= kept), F.xxhash64("leaf", F.slice("ranked", F.lit(1), kept)))
+    both = F.array(F.struct(F.lit(0).alias("wide"), F.xxhash64("leaf", "content").alias("template")), F.struct(F.lit(1).alias("wide"), wide.alias("template")))
+    lines = stage(lines.select("leaf", "line_hash", F.inline(both)).filter("template is not null"), "line-templates")
     seen = places.select("leaf", "line_hash", "hash").join(small(lines, SMALL_ROWS), ["leaf", "line_hash"]).select("template", "hash").distinct()
     often = seen.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    return places, stage(lines.join(often, "template").select("line_hash", "template"), "line-dropped")
+    # a line is named by its wide template if that recurs
+    found = lines.join(often, "template").groupBy("line_hash").agg(F.max(F.struct("wide", "template")).alias("found"))
+    return places, stage(found.select("line_hash", "found.template"), "line-dropped")
 
 
 def drops(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -29,13 +30,21 @@ def brute(texts, min_docs):
         for place, t in enumerate(parsed[line]):
             if t != L.VARIABLE:
                 count[leaf[line], place, t] += len(holders[line])
-    template, shared = {}, defaultdict(set)
+    template, shared = defaultdict(list), defaultdict(set)
     for line in live:
-        fixed = tuple((p, t) for p, t in enumerate(parsed[line]) if t != L.VARIABLE and count[leaf[line], p, t] >= min_docs)
-        if len(fixed) >= L.SIMILAR * len(parsed[line]):
-            template[line] = (leaf[line], fixed)
-            shared[template[line]] |= holders[line]
-    return {line for line in template if len(shared[template[line]]) >= min_docs}
+        n = len(parsed[line])
+        fixed = [(p, t) for p, t in enumerate(parsed[line]) if t != L.VARIABLE and count[leaf[line], p, t] >= min_docs]
+        if len(fixed) >= L.SIMILAR * n:
+            template[line].append((leaf[line], "all", tuple(fixed)))
+            words = sum(t != L.VARIABLE for t in parsed[line])
+            fields = int(L.FIELDS * n)
+            kept = max(math.ceil(L.SIMILAR * n), words - fields)
+            if fields and len(fixed) >= kept:
+                common = sorted(fixed, key=lambda x: (-count[leaf[line], *x], x[0]))[:kept]
+                template[line].append((leaf[line], "wide", tuple(common)))
+        for key in template[line]:
+            shared[key] |= holders[line]
+    return {line for line in template if any(len(shared[key]) >= min_docs for key in template[line])}
 
 
 def corpus():
@@ -67,3 +76,20 @@ def test_equals_brute_force(spark):
 
 def test_empty(spark):
     assert L.report(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_fields_of_words_at_two_sizes(spark):
+    """Values of fields that recur often enough to be constants don't split their template; prose stays."""
+    for n in (400, 4000):
+        r = random.Random(n)
+        prose = lambda: "the man " + " ".join(f"word{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(6))  # noqa: B023, E731
+        rows = [(i, f"Filed under cat{chr(97 + r.randrange(26))} by author{chr(97 + r.randrange(20))}{chr(97 + r.randrange(10))} in the archive\n{prose()}") for i in range(n)]
+        out = L.report(spark.createDataFrame([(i, t, "h", "l") for i, t in rows], SCHEMA)).collect()
+        assert len(out) == n and all((x.n_lines, x.n_dropped, x.n_templates) == (2, 1, 1) for x in out)
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, "h", "l") for i, t in corpus()], SCHEMA)
+    want = sorted(map(repr, L.report(docs, 5).collect()))
+    monkeypatch.setattr(L, "SMALL_ROWS", 0)
+    assert sorted(map(repr, L.report(docs, 5).collect())) == want
