@@ -235,3 +235,38 @@ def set_shares(field: DataFrame) -> DataFrame:
 
 def state_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("cell_state").count().withColumnRenamed("count", "n_cells")
+
+
+def value_at(points: DataFrame, field: DataFrame, origin: tuple, cell: tuple, shape: tuple[int, int, int], value: str = "value") -> DataFrame:
+    """`points` (x, y, z) with the finite value of the cell that holds them, else NULL.
+
+    The grid is half-open here: a point on its outer bounds has no value.
+    """
+    inside = F.lit(True)
+    for a, o, c, n in zip("xyz", origin, cell, shape, strict=True):
+        place = F.floor((F.col(a) - float(o)) / float(c))
+        inside = inside & (place >= 0) & (place < n)
+    flat = F.when(inside, flat_of(F.col("x"), F.col("y"), F.col("z"), origin, cell, shape))
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value)).alias(value)
+    return points.withColumn("flat", flat).join(field.select("flat", finite), "flat", "left").select(*points.columns, "flat", value)
+
+
+def voxel_results(field: DataFrame, origin: tuple, cell: tuple, shape: tuple[int, int, int], area_scale: float = 1.0, p32_scale: float = 1.0) -> DataFrame:
+    """Rows to export of the cells that aren't empty: i, j, k, the centre, p32, area and n_discs.
+
+    `field` has flat, n_discs, area and p32, the last two perhaps as fixed-point numbers of the given scales; NULL is 0.
+    """
+    nx, ny, nz = shape
+    n = F.coalesce("n_discs", F.lit(0)).cast("long")
+    p32, area = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / float(s) for c, s in (("p32", p32_scale), ("area", area_scale)))
+    index = {"i": F.expr(f"flat div {ny * nz}"), "j": F.expr(f"(flat div {nz}) % {ny}"), "k": F.expr(f"flat % {nz}")}
+    rows = field.filter((n != 0) | (p32 != 0)).select(*[c.cast("int").alias(a) for a, c in index.items()], n.alias("n_discs"), area.alias("area"), p32.alias("p32"))
+    centre = [(F.lit(float(o)) + (F.col(a) + 0.5) * float(c)).alias(x) for x, a, o, c in zip("xyz", "ijk", origin, cell, strict=True)]
+    return rows.select("i", "j", "k", *centre, "p32", "area", "n_discs")
+
+
+def grid_metadata(spark: SparkSession, origin: tuple, cell: tuple, shape: tuple[int, int, int]) -> DataFrame:
+    """The one row that goes with `voxel_results`: bounds, cell sizes and shape."""
+    row = [*map(float, origin), *[float(o + c * n) for o, c, n in zip(origin, cell, shape, strict=True)], *map(float, cell), *map(int, shape)]
+    names = [f"{a}_{end} double" for end in ("min", "max") for a in "xyz"] + [f"d{a} double" for a in "xyz"] + [f"n{a} int" for a in "xyz"]
+    return spark.createDataFrame([tuple(row)], ", ".join(names))

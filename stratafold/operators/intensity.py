@@ -110,3 +110,11 @@ def jv_rqd(points: DataFrame) -> DataFrame:
 
 def rqd_from_jv(jv: Column) -> Column:
     return F.when(jv <= 4, 100.0).when(jv >= 44, 0.0).otherwise(F.lit(110.0) - F.lit(2.5) * jv)
+
+
+def supported_p10(p10: DataFrame, supported: DataFrame) -> DataFrame:
+    """P10 rows of a realization in which only the sets in `supported` were simulated: the others have no data, not zero."""
+    known = F.coalesce("__supported", F.lit(False))
+    out = p10.join(supported.select("set_id").distinct().withColumn("__supported", F.lit(True)), "set_id", "left")
+    values = {c: F.when(known, F.col(c)) for c in ("n_fractures", "n_full", "n_dip_only", "p10")}
+    return out.withColumns(values | {"data_state": F.when(known, F.col("data_state")).otherwise("no_data")}).select(*p10.columns)

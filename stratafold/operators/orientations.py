@@ -124,3 +124,19 @@ def axial_summary(normals: DataFrame, by: list[str], order: str) -> DataFrame:
     length = F.sqrt(sum(F.col(f"s{k}") * F.col(f"s{k}") for k in "xyz"))
     up = F.when(F.col("sz") < 0, -1.0).otherwise(1.0)
     return g.select(*by, "n", *[F.when(length > 1e-12, up * F.col(f"s{k}") / length).alias(f"mean_n{k}") for k in "xyz"], (length / F.col("n")).alias("resultant"))
+
+
+def imported_sets(rows: DataFrame, roles: DataFrame, least: int = 3) -> DataFrame:
+    """Counts of each imported set by the roles of its holes, and the orientation of the set in calibration holes.
+
+    Holes without a role calibrate; rows without a set are left out; a set seen in validation only has zeros. Fewer than
+    `least` full orientations give no mean and no kappa.
+    """
+    validates = F.coalesce(F.col("role") == "validation", F.lit(False))
+    rows = rows.filter("set_id is not null").join(roles.select("hole_id", "role"), "hole_id", "left").withColumn("validates", validates)
+    full = F.col("dip_direction").isNotNull()
+    counts = []
+    for name, mine in (("calibration", ~F.col("validates")), ("validation", F.col("validates"))):
+        counts += [F.count_if(mine).alias(f"n_{name}"), F.count_if(mine & full).alias(f"full_{name}"), F.count_if(mine & ~full).alias(f"dip_only_{name}")]
+    mean = fisher(rows.filter(~F.col("validates")), ["set_id"], least).drop("n", "resultant")
+    return rows.groupBy("set_id").agg(*counts).join(mean, "set_id", "left")

@@ -89,3 +89,24 @@ def exchangeable_sums(parts: list[DataFrame], keys: list[str], values: list[str]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+
+
+def with_size_model(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """`rows` (domain_id, set_id) with column model: the model of their domain and set, else that of the set in no domain.
+
+    `models` has domain_id, set_id, unique together, and further columns, which become the fields of model.
+    """
+    fields = [c for c in models.columns if c not in ("domain_id", "set_id")]
+    packed = models.select("domain_id", "set_id", F.struct(*fields).alias("__model"))
+    own = packed.filter("domain_id is not null").withColumnRenamed("__model", "__own")
+    common = packed.filter("domain_id is null").select("set_id", F.col("__model").alias("__common"))
+    joined = rows.join(own, ["domain_id", "set_id"], "left").join(common, "set_id", "left")
+    return joined.select(*[F.col(c) for c in rows.columns], F.coalesce("__own", "__common").alias("model"))
+
+
+def size_model_problems(active: DataFrame, models: DataFrame, status: str = "status") -> DataFrame:
+    """domain_id, set_id, problem of the active domains and sets that have no size model, or one that isn't resolved."""
+    pairs = with_size_model(active.select("domain_id", "set_id").distinct(), models)
+    unresolved = F.coalesce(F.col(f"model.{status}"), F.lit("UNRESOLVED")) == "UNRESOLVED"
+    problem = F.when(F.col("model").isNull(), "MISSING_SIZE_MODEL").when(unresolved, "UNRESOLVED_SIZE_MODEL")
+    return pairs.select("domain_id", "set_id", problem.alias("problem")).filter("problem is not null")

@@ -837,6 +837,70 @@ def p32_of_spacing(v: Views) -> DataFrame:
     return intake.p32_of_spacing(rows, strict=False).select("record_id", "refused", "p32")
 
 
+ROLES = "ro AS (SELECT hole_id, CASE WHEN hole_id % 4 = 0 THEN 'validation' ELSE 'calibration' END AS role FROM collars WHERE hole_id % 7 <> 0)"
+
+
+@query(f"""WITH {ROLES}, rf AS (SELECT f.*, coalesce(role = 'validation', false) AS v FROM fractures f LEFT JOIN ro USING (hole_id) WHERE set_id IS NOT NULL), cal AS (SELECT * FROM rf WHERE NOT v),
+{NORMALS.format('cal')}, {FISHER.format(keys='set_id')}, m AS (SELECT set_id, {FISHER_OUT} FROM q),
+c AS (SELECT set_id, {', '.join(f"count(*) FILTER ({w}) AS n_{k}, count(dip_direction) FILTER ({w}) AS full_{k}, count(*) FILTER ({w} AND dip_direction IS NULL) AS dip_only_{k}" for k, w in (('calibration', 'NOT v'), ('validation', 'v')))} FROM rf GROUP BY set_id)
+SELECT c.*, m.mean_dip_direction, m.mean_dip, m.kappa FROM c LEFT JOIN m USING (set_id)""")
+def imported_sets(v: Views) -> DataFrame:
+    roles = v.collars.filter("hole_id % 7 <> 0").select("hole_id", F.when(F.col("hole_id") % 4 == 0, "validation").otherwise("calibration").alias("role"))
+    return orientations.imported_sets(v.fractures, roles)
+
+
+SIZE_MODELS = "SELECT CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey % 4 END AS domain_id, 1 + CAST(floor(n_nationkey / 4) AS INTEGER) AS set_id, CASE WHEN n_nationkey % 5 = 0 THEN 'UNRESOLVED' ELSE 'FITTED' END AS status, n_nationkey AS model_id FROM nation WHERE n_nationkey < 12 AND n_nationkey NOT IN (1, 6, 8, 10)"
+
+
+def _size_models(v: Views) -> DataFrame:
+    return v.spark.sql(SIZE_MODELS.replace("FROM nation", "FROM {nation}"), nation=v.nation)
+
+
+@query(f"""WITH {DOMAINED}, sm AS ({SIZE_MODELS}) SELECT f.hole_id, f.obs_id, f.depth, coalesce(a.model_id, b.model_id) AS model_id FROM dm f
+LEFT JOIN sm a ON a.domain_id = f.domain_id AND a.set_id = f.set_id LEFT JOIN sm b ON b.domain_id IS NULL AND b.set_id = f.set_id""")
+def size_model_lookup(v: Views) -> DataFrame:
+    rows = holes.domain_at_depth(v.fractures, v.domain_intervals).filter("domain_id is not null")
+    return state.with_size_model(rows, _size_models(v)).select("hole_id", "obs_id", "depth", F.col("model.model_id").alias("model_id"))
+
+
+@query(f"""WITH {DOMAINED}, sm AS ({SIZE_MODELS}), p AS (SELECT DISTINCT domain_id, set_id FROM dm), j AS (SELECT p.*, coalesce(a.status, b.status) AS status FROM p
+LEFT JOIN sm a ON a.domain_id = p.domain_id AND a.set_id = p.set_id LEFT JOIN sm b ON b.domain_id IS NULL AND b.set_id = p.set_id)
+SELECT domain_id, set_id, CASE WHEN status IS NULL THEN 'MISSING_SIZE_MODEL' ELSE 'UNRESOLVED_SIZE_MODEL' END AS problem FROM j WHERE status IS NULL OR status = 'UNRESOLVED'""")
+def size_model_problems(v: Views) -> DataFrame:
+    return state.size_model_problems(holes.domain_at_depth(v.fractures, v.domain_intervals).filter("domain_id is not null"), _size_models(v))
+
+
+CENTRES = "vc AS (SELECT CAST((floor(cx / 5) * 20 + floor(cy / 5)) * 20 + floor(cz / 5) AS BIGINT) AS flat, count(*) AS n_discs, sum(pi() * radius * radius) AS area FROM discs GROUP BY 1)"
+
+
+def _centre_counts(v: Views) -> DataFrame:
+    flat = fields.flat_of(F.col("cx"), F.col("cy"), F.col("cz"), LOW, CELL, SHAPE)
+    return v.discs.groupBy(flat.alias("flat")).agg(F.count("*").alias("n_discs"), F.sum(F.pi() * F.col("radius") ** 2).alias("area"))
+
+
+@query(f"""WITH {CENTRES}, p AS (SELECT ordinal, CASE WHEN cx + 30 < 100 THEN CAST((floor((cx + 30) / 5) * 20 + floor(cy / 5)) * 20 + floor(cz / 5) AS BIGINT) END AS flat FROM discs)
+SELECT p.ordinal, p.flat, {r('vc.area AS area')} FROM p LEFT JOIN vc ON p.flat = vc.flat""")
+def field_at_points(v: Views) -> DataFrame:
+    points = v.discs.select("ordinal", (F.col("cx") + 30).alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    return fields.value_at(points, _centre_counts(v), LOW, CELL, SHAPE, "area").select("ordinal", "flat", "area")
+
+
+@query(f"""WITH {CENTRES}, t AS (SELECT CAST(flat // 400 AS INTEGER) AS i, CAST(flat // 20 % 20 AS INTEGER) AS j, CAST(flat % 20 AS INTEGER) AS k, area, n_discs FROM vc)
+SELECT i, j, k, {r(*[f'CAST(5 * {n} + 2.5 AS DOUBLE) AS {x}' for n, x in zip('ijk', 'xyz', strict=True)], 'area / 125 AS p32', 'area')}, n_discs FROM t""")
+def voxel_results(v: Views) -> DataFrame:
+    # as stored: area in millionths, P32 in thousandths
+    stored = _centre_counts(v).select("flat", "n_discs", (F.col("area") * 1e6).alias("area"), (F.col("area") / 125 * 1e3).alias("p32"))
+    return fields.voxel_results(stored, LOW, CELL, SHAPE, 1e6, 1e3)
+
+
+@query(f"""WITH {P10_SQL} SELECT r.hole_id, r.from_depth, r.to_depth, s.set_id, CASE WHEN s.set_id < 3 THEN coalesce(n.n, 0) END AS n_fractures, CASE WHEN s.set_id < 3 THEN coalesce(n.n_full, 0) END AS n_full,
+CASE WHEN s.set_id < 3 THEN coalesce(n.n - n.n_full, 0) END AS n_dip_only, CAST(10 AS DOUBLE) AS sample_length, {r('CASE WHEN s.set_id < 3 THEN coalesce(n.n, 0) / CAST(10 AS DOUBLE) END AS p10')},
+CASE WHEN s.set_id >= 3 THEN 'no_data' WHEN coalesce(n.n, 0) = 0 THEN 'true_zero' ELSE 'modeled_value' END AS data_state
+FROM r CROSS JOIN s LEFT JOIN n ON r.hole_id = n.hole_id AND r.k = n.k AND s.set_id = n.set_id""")
+def supported_p10(v: Views) -> DataFrame:
+    return intensity.supported_p10(intensity.p10_intervals(v.fractures, v.collars), v.fractures.filter("set_id < 3"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: P10 of every hole, interval and set."""
     return QUERIES["p10_intervals"](spark, sf_dir)

@@ -2,12 +2,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from stratafold.operators import intake, state
+from stratafold.operators import fields, intake, state
 from stratafold.plans import catalog
 from stratafold.plans.views import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-CHEAP = ["p10_intervals", "record_counts", "classify_records", "merge_findings", "interval_overlaps", "jv_rqd", "orientation_roundtrip", "fisher_by_set", "trajectory_points", "domain_split", "stratified_holdout", "world_to_voxel", "variogram_lags", "sphere_pairs", "template_resolve", "size_moments", "joint_set_diagnostics", "synchronized_samples", "percolation", "generation_bounds", "axial_summary", "coverage_errors", "p32_of_spacing", "disc_neighbours"]
+CHEAP = ["p10_intervals", "record_counts", "classify_records", "merge_findings", "interval_overlaps", "jv_rqd", "orientation_roundtrip", "fisher_by_set", "trajectory_points", "domain_split", "stratified_holdout", "world_to_voxel", "variogram_lags", "sphere_pairs", "template_resolve", "size_moments", "joint_set_diagnostics", "synchronized_samples", "percolation", "generation_bounds", "axial_summary", "coverage_errors", "p32_of_spacing", "disc_neighbours", "imported_sets", "size_model_lookup", "size_model_problems", "field_at_points", "voxel_results", "supported_p10"]
 
 
 def tidy(rows, names):
@@ -35,6 +35,21 @@ def test_spacing_without_a_basis_is_an_error(spark):
     assert intake.p32_of_spacing(rows.limit(0)).collect() == []
 
 
+def test_field_values_at_bounds(spark):
+    points = spark.createDataFrame([(0.0, 0.0, 0.0), (9.9, 9.9, 9.9), (10.0, 1.0, 1.0), (-0.1, 1.0, 1.0), (1.0, 1.0, 9.0), (1.0, 9.0, 1.0), (None, 1.0, 1.0)], "x double, y double, z double")
+    field = spark.createDataFrame([(0, 1.5), (7, 2.5), (1, float("nan")), (2, float("inf"))], "flat long, value double")
+    got = {(r.x, r.y, r.z): r.value for r in fields.value_at(points, field, (0, 0, 0), (5, 5, 5), (2, 2, 2)).collect()}
+    assert len(got) == 7 and {k: v for k, v in got.items() if v is not None} == {(0.0, 0.0, 0.0): 1.5, (9.9, 9.9, 9.9): 2.5}
+
+
+def test_voxel_results_and_metadata(spark):
+    field = spark.createDataFrame([(0, 2, 3e6, 400.0), (5, 0, None, None), (7, None, 1e6, 10.0), (6, 1, None, None)], "flat long, n_discs long, area double, p32 double")
+    got = sorted(tuple(r) for r in fields.voxel_results(field, (0, 0, 0), (5, 5, 5), (2, 2, 2), 1e6, 1e3).collect())
+    assert got == [(0, 0, 0, 2.5, 2.5, 2.5, 0.4, 3.0, 2), (1, 1, 0, 7.5, 7.5, 2.5, 0.0, 0.0, 1), (1, 1, 1, 7.5, 7.5, 7.5, 0.01, 1.0, 0)]
+    meta = fields.grid_metadata(spark, (0, 0, 0), (5, 5, 5), (2, 2, 2)).first()
+    assert (meta.x_min, meta.z_max, meta.dy, meta.nz) == (0.0, 10.0, 5.0, 2)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.ORACLES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
