@@ -177,19 +177,24 @@ def kriged(targets: DataFrame, samples: DataFrame, key: str, model: str, nugget:
 def variogram_lags(samples: DataFrame, lags: int, furthest: float) -> DataFrame:
     """lag, n_pairs, distance, semivariance of pairs up to `furthest`, in equal right-closed lags; pairs at one place are dropped.
 
-    Pairs meet in cubes of the furthest distance's size.
+    Samples at one place are summed first (their number, mean and squared deviations give the sums over all their pairs);
+    places meet in cubes of the furthest distance's size.
     """
     width = furthest / lags
     cube = lambda c: F.floor(F.col(c) / furthest)
-    a = samples.select(F.col("sample_id").alias("ia"), F.col("value").alias("va"), *[F.col(c).alias(f"a{c}") for c in "xyz"], *[cube(c).alias(f"g{c}") for c in "xyz"])
-    b = samples.select(F.col("sample_id").alias("ib"), F.col("value").alias("vb"), "x", "y", "z")
+    places = samples.groupBy("x", "y", "z").agg(F.count("*").alias("n"), F.count("value").alias("m"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("v"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("s"))
+    a = places.select(*[F.col(c).alias(f"a{c}") for c in ("x", "y", "z", "n", "m", "v", "s")], *[cube(c).alias(f"g{c}") for c in "xyz"])
+    b = places
     for c in "xyz":
         b = b.withColumn(f"g{c}", F.explode(F.array(*[cube(c) + d for d in (-1, 0, 1)])))
-    j = a.join(b, ["gx", "gy", "gz"]).filter("ia < ib")
+    # by a merge: the explosion doesn't show in the sizes by which a side is taken for small
+    j = a.hint("merge").join(b, ["gx", "gy", "gz"]).filter(F.struct("ax", "ay", "az") < F.struct("x", "y", "z"))
     d = F.sqrt(sum((F.col(c) - F.col(f"a{c}")) ** 2 for c in "xyz"))
     j = j.withColumn("d", d).filter((F.col("d") > 1e-12) & (F.col("d") <= furthest))
     lag = F.greatest(F.ceil(F.col("d") / width - 1e-12) - 1, F.lit(0)).cast("int")
-    return j.groupBy(lag.alias("lag")).agg(F.count("*").alias("n_pairs"), F.avg("d").alias("distance"), (F.avg((F.col("va") - F.col("vb")) ** 2) / 2).alias("semivariance"))
+    pairs, known = F.col("an") * F.col("n"), F.col("am") * F.col("m")
+    squares = known * (F.col("as") + F.col("s") + (F.col("av") - F.col("v")) ** 2)
+    return j.groupBy(lag.alias("lag")).agg(F.sum(pairs).alias("n_pairs"), (F.sum(pairs * F.col("d")) / F.sum(pairs)).alias("distance"), F.when(F.sum(known) > 0, F.sum(squares) / F.sum(known) / 2).alias("semivariance"))
 
 
 def fit_variogram(lags: DataFrame, model: str = "spherical") -> dict[str, float]:

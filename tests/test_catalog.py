@@ -115,7 +115,7 @@ def same_as_sql(spark, name, folder):
     return rows
 
 
-@pytest.mark.parametrize("name", ["degree_stats", "disc_edges"])
+@pytest.mark.parametrize("name", ["degree_stats", "disc_edges", "disc_neighbours", "inter_set_matrix"])
 def test_discs_in_one_plane(spark, flat_pairs, name):
     assert same_as_sql(spark, name, flat_pairs)
     assert len(same_as_sql(spark, "coplanar_edges", flat_pairs)) > 10

@@ -147,3 +147,40 @@ def test_streamed_counts_equal_batch(spark):
     got = {(r.window_start, r.event_type): r.n for r in spark.table("counted").collect()}
     q.stop()
     assert got == {(r.window_start, r.event_type): r.n for r in records.windowed_counts(spark.read.parquet(f"{path}/events.parquet")).collect()}
+
+
+def test_variogram_of_samples_at_shared_places(spark):
+    rows = [(i, float(i * 7 % 5), float(i * 3 % 4), float(i % 2), None if i % 9 == 0 else float(i * 31 % 17)) for i in range(200)]
+    got = fields.variogram_lags(spark.createDataFrame(rows, "sample_id long, x double, y double, z double, value double"), 4, 4.0)
+    # the pairs of places are made, not those of samples
+    assert len({r[1:4] for r in rows}) == 20
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            d = math.dist(a[1:4], b[1:4])
+            if 0 < d <= 4:
+                n, far, known = want.setdefault(max(math.ceil(d - 1e-12) - 1, 0), [0, 0.0, []])
+                want[max(math.ceil(d - 1e-12) - 1, 0)][:2] = n + 1, far + d
+                known += [] if None in (a[4], b[4]) else [(a[4] - b[4]) ** 2]
+    got = {r.lag: (r.n_pairs, pytest.approx(r.distance), pytest.approx(r.semivariance)) for r in got.collect()}
+    assert got == {k: (n, far / n, sum(known) / len(known) / 2) for k, (n, far, known) in want.items()}
+
+
+def test_variogram_makes_pairs_of_places_only(spark):
+    samples = spark.range(6000).selectExpr("id as sample_id", "cast(id % 3 as double) as x", "0d as y", "0d as z", "cast(id % 7 as double) as value")
+    lags = fields.variogram_lags(samples, 2, 2.0)
+    made = []
+    rows = {r.lag: r.n_pairs for r in lags.collect()}
+    plan = lags._jdf.queryExecution().executedPlan()
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+        if hasattr(node, "executedPlan") and "AdaptiveSparkPlan" in node.nodeName():
+            stack.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            stack.append(node.plan())
+        else:
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+    assert rows == {0: 2 * 2000**2, 1: 2000**2} and made and max(made) < 100
