@@ -82,14 +82,17 @@ def priority_domain(points: DataFrame, domains: DataFrame, key: str) -> DataFram
 def k_nearest(targets: DataFrame, samples: DataFrame, key: str, k: int, radius: float, scale: tuple = (1.0, 1.0, 1.0), same: list[str] = ()) -> DataFrame:
     """Target-sample pairs (key, sample_id, value, d) of the k nearest within a radius, ties to the lower id.
 
-    Both sides meet in cubes of the radius's size, so only near pairs are made; `same` names columns that must agree.
+    Both sides meet in cubes of the radius's size, so only near pairs are made; `same` names columns that must agree. Of the
+    samples at one place, which are equally far from every target, only the k of least id can be among the nearest.
     """
     cube = lambda c, s: F.floor(F.col(c) * F.lit(float(s)) / radius)
     t = targets.select(key, *same, *[F.col(c).alias(f"t{c}") for c in "xyz"], *[cube(c, s).alias(f"g{c}") for c, s in zip("xyz", scale, strict=True)])
-    s_ = samples.select("sample_id", "value", *same, "x", "y", "z")
+    order = F.row_number().over(Window.partitionBy(*same, "x", "y", "z").orderBy("sample_id"))
+    s_ = samples.select("sample_id", "value", *same, "x", "y", "z").withColumn("__order", order).filter(F.col("__order") <= k).drop("__order")
     for c, w in zip("xyz", scale, strict=True):
         s_ = s_.withColumn(f"g{c}", F.explode(F.array(*[cube(c, w) + d for d in (-1, 0, 1)])))
-    j = t.join(s_, [*same, "gx", "gy", "gz"])
+    # by a merge: the explosion doesn't show in the sizes by which a side is taken for small
+    j = t.join(s_.hint("merge"), [*same, "gx", "gy", "gz"])
     d = F.sqrt(sum(((F.col(c) - F.col(f"t{c}")) * F.lit(float(w))) ** 2 for c, w in zip("xyz", scale, strict=True)))
     near = j.withColumn("d", d).filter(F.col("d") <= radius)
     rank = F.row_number().over(Window.partitionBy(key).orderBy("d", "sample_id"))

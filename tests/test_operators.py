@@ -184,3 +184,14 @@ def test_variogram_makes_pairs_of_places_only(spark):
         else:
             stack += [node.children().apply(i) for i in range(node.children().size())]
     assert rows == {0: 2 * 2000**2, 1: 2000**2} and made and max(made) < 100
+
+
+def test_nearest_of_many_samples_at_a_place(spark):
+    samples = spark.range(6000).selectExpr("id as sample_id", "cast(id % 3 as double) as x", "0d as y", "0d as z", "cast(id as double) as value", "cast(id % 2 as int) as set_id")
+    targets = spark.createDataFrame([(1, 0.2, 0.0, 0.0, 0), (2, 1.5, 0.0, 0.0, 1), (3, 9.0, 0.0, 0.0, 1)], "t long, x double, y double, z double, set_id int")
+    near = fields.k_nearest(targets, samples, "t", 4, 1.4, same=["set_id"])
+    got = {(r.t, r.rank): r.sample_id for r in near.collect()}
+    assert got == {(1, i + 1): 6 * i for i in range(4)} | {(2, i + 1): s for i, s in enumerate((1, 5, 7, 11))}
+    # no exploded side is broadcast, and each place gives k samples at most
+    plan = near._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "__order" in plan
